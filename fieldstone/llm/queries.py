@@ -6,13 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldstone.llm import exact_dedup
+from fieldstone.llm import exact_dedup, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+p AS (SELECT *, CAST(floor(8 * sqrt(sqrt(CAST(size AS DOUBLE)))) AS BIGINT) AS bin, CAST('0x' || substr(k, 1, 4) AS BIGINT) % 64 AS sub FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM p GROUP BY source),
+w AS (SELECT *, [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2e0 * source_size AS cap, 1.5e0 * sum(source_size) OVER () AS total FROM s),
+r AS (SELECT *, cap / weight AS ratio FROM w),
+l AS (SELECT *, ratio <= (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS alone FROM r),
+m AS (SELECT *, bool_and(alone) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stops FROM l),
+t AS (SELECT source, source_size, CASE WHEN stops THEN cap ELSE weight * ((total - coalesce(sum(CASE WHEN stops THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT stops THEN weight END) OVER ()) END AS target FROM m),
+e AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * 16777216 + 0.5) AS BIGINT) ELSE 0 END AS each, CAST('0x' || substr(md5('17:' || coalesce('s' || p.source, 'null')), 1, 6) AS BIGINT) AS off FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, CAST(off + sum(each) OVER (PARTITION BY source ORDER BY bin, sub, size, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM e)
+SELECT doc_id, size, source_size, target, ((upto >> 24) - ((upto - each) >> 24)) * size AS taken FROM x
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
 
@@ -25,8 +44,8 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup}
+    return {"op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
