@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldstone.llm import exact_dedup, mixing, quality
+from fieldstone.llm import exact_dedup, mixing, quality, token_files
+from fieldstone.llm.vocabularies import tokenizer_path
+from fieldstone.shared import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "severity", "cutoff", "kept")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    read = token_files.with_starts(token_files.checksums(spark, path), spark, path)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -49,7 +59,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
