@@ -78,22 +78,22 @@ def _counted(placed: DataFrame, source_col: str, seed: int, **law) -> DataFrame:
     each = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("bigint")
     offset = _number(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "__source")), 1, 6))
     order = Window.partitionBy("__source").orderBy("__bin", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bins.drop("source", "words").join(targets.drop("source").withColumns({"__each": each}), "__source").withColumn(
+    starts = bins.drop("source", "words").hint("merge").join(targets.drop("source").withColumns({"__each": each}), "__source").withColumn(
         "__start", F.coalesce(F.sum(F.col("n") * F.col("__each")).over(order), F.lit(0)) + offset
     ).select(*keys, "__start", "__each", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     rank = Window.partitionBy(*keys).orderBy("__size", "__key").rowsBetween(Window.unboundedPreceding, 0)
-    df = placed.join(written(starts, "mix-starts"), keys).withColumn("__end", F.col("__start") + F.sum("__each").over(rank))
+    df = placed.join(written(starts, "mix-starts").hint("merge"), keys).withColumn("__end", F.col("__start") + F.sum("__each").over(rank))
     return df.withColumn("__copies", F.shiftright("__end", UNIT_BITS) - F.shiftright(F.col("__end") - F.col("__each"), UNIT_BITS))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, sub_bins: int = 64, **law) -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, sub_bins: int = 16, **law) -> DataFrame:
     """One row per document: id, size, source_size, target, copies, taken."""
     narrow = written(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("__words")), "mix-sizes")
     out = _counted(_placed(narrow, id_col, source_col, F.col("__words"), sub_bins), source_col, seed, **law)
     return out.select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, sub_bins: int = 64, **law) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, sub_bins: int = 16, **law) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with its own columns and no other."""
     out = _counted(_placed(docs, id_col, source_col, word_count(F.col(text_col)), sub_bins), source_col, seed, **law)
     return out.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
