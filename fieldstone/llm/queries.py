@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstone.llm import byte_bpe, exact_dedup, mixing, quality, token_counts, token_files
+from fieldstone.llm import byte_bpe, exact_dedup, mixing, quality, sharding, token_counts, token_files
 from fieldstone.llm.vocabularies import tokenizer_path
 from fieldstone.shared import shared_path
 
@@ -47,6 +47,10 @@ SELECT doc_id, size, source_size, target, ((upto >> 24) - ((upto - each) >> 24))
 """
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
 
@@ -67,7 +71,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_token_counts": op8_token_counts}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op5_exact_dedup": op5_exact_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
