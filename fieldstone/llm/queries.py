@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstone.llm import byte_bpe, exact_dedup, mixing, quality, sharding, token_counts, token_files
+from fieldstone.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts, token_files
 from fieldstone.llm.vocabularies import tokenizer_path
 from fieldstone.shared import shared_path
 
@@ -62,6 +62,10 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -71,7 +75,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op5_exact_dedup": op5_exact_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_token_counts": op8_token_counts}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
