@@ -33,7 +33,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        gc.freeze()  # vocabularies hold many objects that never go
+        gc.disable()  # caches hold many objects, and nothing here makes cycles
         function = make()
         for batch in batches:
             for part in pieces(batch, column, most):

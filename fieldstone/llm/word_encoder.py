@@ -1,10 +1,12 @@
-"""A tokenizers-library encoder with a cache of words.
+"""A tokenizers-library encoder with a cache of pre-tokens.
 
 The vocabulary's pre-tokenizer drops white space and its merges never cross it, so the ids of a text are those of its
-words in turn. Words are cut at ASCII white space only, which every such pre-tokenizer drops; what else a text holds
-stays inside a word and is left to the library. Words that are not in the cache are encoded by the library in one
-batch. Printable ASCII words are first cut into the library's own pre-tokens, which recur more often than words with
-their punctuation. Texts that hold the string of an added token are encoded whole.
+words in turn. Each distinct word of a batch is looked at once. A text of printable ASCII, ASCII white space and
+accented Latin-1 letters is lower-cased first, as its characters are normalised already and have one-to-one lower-case
+forms, and words with punctuation are put together from the library's own pre-tokens, which recur more often. Other
+texts are cut at ASCII white space only, which every such pre-tokenizer drops, and what else they hold is left to the
+library. Strings that are not in the cache are encoded by the library in one batch. Texts that hold the string of an
+added token are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from itertools import chain
 
-import numpy as np
-
-#: Fixed value: how the vocabulary cuts lower-case printable ASCII.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Words of either half of the cache: the older half goes when the newer is full.
-CACHE = 250_000
+#: Texts that are cut here, and how the vocabulary cuts their words in lower case.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\n\x0b\x0c\r]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+MARKS = frozenset(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Entries of either half of the cache: the older half goes when the newer is full.
+CACHE = 400_000
 
 
 class WordEncoder:
@@ -32,42 +35,44 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size, self.new, self.old = cache, {}, {}
-        self.pieces: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
-        self.ascii_pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.cuts = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Put all words into the newer half of the cache."""
-        found = words.intersection(self.old)
-        self.new.update((w, self.old[w]) for w in found)
-        rest = words.difference(found)
-        whole, cut = [], {}
-        for w in rest:
-            if self.ascii_pieces and w.isascii() and (s := w.decode()).isprintable():
-                cut[w] = PIECE.findall(s.lower())
-            else:
-                whole.append(w)
-        if len(self.pieces) > self.size:
-            self.pieces = {}
-        missing = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
-        self.pieces.update(zip(missing, self._library(missing), strict=True))
-        get = self.pieces.__getitem__
-        self.new.update((w, b"".join(map(get, p))) for w, p in cut.items())
-        self.new.update(zip(whole, self._library([w.decode("utf-8", "replace") for w in whole]), strict=True))
+    def _learn(self, strings: set[str]) -> None:
+        """Put the ids of all strings into the newer half of the cache."""
+        missing = strings.difference(self.new)
+        if len(self.new) + len(missing) > self.size:
+            self.old, self.new, missing = self.new, {}, strings
+        kept = missing.intersection(self.old)
+        self.new.update((p, self.old[p]) for p in kept)
+        rest = list(missing.difference(kept))
+        self.new.update(zip(rest, self._library(rest), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        split = [() if any(a in t for a in self.added) else t.split() for t in texts]
-        needed = set(chain.from_iterable(split))
-        unknown = needed.difference(self.new)
-        if len(self.new) + len(unknown) > self.size:
-            self.old, self.new, unknown = self.new, {}, needed
-        if unknown:
-            self._learn(unknown)
+        split, plain, other = [], set(), set()
+        for t in texts:
+            s = t.decode("utf-8", "replace")
+            if any(a in s for a in self.added):
+                split.append(None)
+            elif self.cuts and PLAIN.fullmatch(s):
+                split.append(words := s.lower().split())
+                plain.update(words)
+            else:
+                split.append(words := [w.decode("utf-8", "replace") for w in t.split()])
+                other.update(words)
+        several = {}  # words of more than one pre-token
+        for w in [w for w in plain if not w.isalpha()]:
+            several[w] = (w[:-1], w[-1]) if w[:-1].isalpha() and w[-1] in MARKS else PIECE.findall(w)
+        single = plain.difference(several).union(other)
+        self._learn(single.union(chain.from_iterable(several.values())))
         get = self.new.__getitem__
-        return [self._library([t.decode("utf-8", "replace")])[0] if s == () else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        ids = dict(zip(single, map(get, single), strict=True))
+        ids.update((w, b"".join(map(get, p))) for w, p in several.items())
+        get = ids.__getitem__
+        return [self._library([t.decode("utf-8", "replace")])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]

@@ -10,7 +10,7 @@ from fieldstone.llm.word_encoder import WordEncoder
 from fieldstone.shared import shared_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
-CHARS = ["a", "The", "don't", "'ve", "'s", " ", " ", "\n", "é", "é", "́", "\xa0", " ", "Σ", "ß", "日本", "1", "23", "!?", "<|endoftext|>", "\x00", "\x1c", "\x85", "İ", "😀", "ﬁ", "\t\x0b", "'"]
+CHARS = ["a", "The", "don't", "'ve", "'s", " ", " ", "\n", "é", "é", "́", "\xa0", " ", "Σ", "ß", "日本", "1", "23", "!?", "<|endoftext|>", "\x00", "\x1c", "\x85", "İ", "😀", "ﬁ", "\t\x0b", "'", "Écôle,", "ÿ's", "straße.", "µ", "ª", "×", "÷", "²", "à1b", "x'", "LL'", "ÀÉ'LL"]
 
 
 def texts(n=300):
