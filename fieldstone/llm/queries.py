@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstone.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts, token_files, toxicity
+from fieldstone.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts, token_files, toxicity, warc
 from fieldstone.llm.vocabularies import tokenizer_path
 from fieldstone.shared import shared_path
 
@@ -74,13 +74,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(warc.derivatives(warc.responses(_table(spark, sf_dir, "pages"))), path)
+    found = warc.linked(warc.read_warc(spark, path))
+    return found.withColumn("refers_to_ok", F.col("response_id") == F.col("conversion_refers_to")).drop("conversion_refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_token_counts": op8_token_counts, "op9_warc_derivatives": op9_warc_derivatives, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
