@@ -1,29 +1,684 @@
-"""Registered queries of the engine's own operators, with their DuckDB counterparts."""
+"""Registered queries of the engine's own operators, with their DuckDB counterparts.
+
+Readings of the tables: lineitem is a sparse matrix (part x supplier) with repeated entries, customer and supplier
+balances are vectors, embeddings a multivector, events chains and trajectories, orders observations.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldstone.functions import applied
+from fieldstone.operators import diagnostics as dg
+from fieldstone.operators import matrix as mx
+from fieldstone.operators import misfits as mf
+from fieldstone.operators import vector as vec
+from fieldstone.sources import mesh
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, tuple[Query, str | None]] = {}
+N = 16  # cells per side of the generated square
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _matrix(spark: SparkSession, d: str, value: str | Column = "l_quantity") -> DataFrame:
+    v = F.col(value) if isinstance(value, str) else value
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), v.alias("v"))
+
+
+def _supplier(spark: SparkSession, d: str) -> DataFrame:
+    return vec.from_columns(_t(spark, d, "supplier"), "s_suppkey", "s_acctbal")
+
+
+def _customer(spark: SparkSession, d: str) -> DataFrame:
+    return vec.from_columns(_t(spark, d, "customer"), "c_custkey", "c_acctbal")
+
+
+def _embeddings(spark: SparkSession, d: str, k: int = 6) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double")).alias("x"))
+
+
+# Vectors.
+
+_X = "SELECT s_suppkey AS i, s_acctbal AS v FROM supplier"
+_Y = "SELECT c_custkey AS i, c_acctbal AS v FROM customer"
+
+
+@query(f"SELECT i, round(sum(v), 4) AS v FROM (SELECT i, v FROM ({_X}) UNION ALL SELECT i, 0.5 * v FROM ({_Y})) GROUP BY i")
+def vec_axpy(spark, d):
+    return _r(vec.axpy(_supplier(spark, d), 0.5, _customer(spark, d)), 4, "v")
+
+
+@query(f"SELECT i, round(sum(v), 4) AS v FROM (SELECT i, 2 * v AS v FROM ({_X}) UNION ALL SELECT i, v FROM ({_Y})) GROUP BY i")
+def vec_aypx(spark, d):
+    return _r(vec.aypx(_supplier(spark, d), 2.0, _customer(spark, d)), 4, "v")
+
+
+@query(f"SELECT a.i, round(a.v * b.v, 3) AS v FROM ({_X}) a JOIN ({_Y}) b ON a.i = b.i")
+def vec_pointwise(spark, d):
+    return _r(vec.pointwise_mult(_supplier(spark, d), _customer(spark, d)), 3, "v")
+
+
+@query(f"SELECT round(sum(a.v * b.v), 2) AS \"inner\" FROM ({_X}) a JOIN ({_Y}) b ON a.i = b.i")
+def vec_inner(spark, d):
+    return _r(vec.inner(_supplier(spark, d), _customer(spark, d)), 2, "inner")
+
+
+@query(f"SELECT round(sum(abs(v)), 3) AS l1, round(sqrt(sum(v * v)), 5) AS l2, max(abs(v)) AS linf, round(sum(v), 3) AS total, max(v) AS largest, min(v) AS least FROM ({_Y})")
+def vec_norms(spark, d):
+    return _r(_r(vec.norms(_customer(spark, d)), 3, "l1", "total"), 5, "l2")
+
+
+@query("SELECT true AS finite, true AS nonzero")
+def vec_checks(spark, d):
+    x = _customer(spark, d)
+    return vec.all_finite(x).join(vec.any_nonzero(x))
+
+
+# Matrices.
+
+_A = "SELECT l_partkey AS i, l_suppkey AS j, l_quantity AS v FROM lineitem"
+_A1 = "SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
+_ATA = f"SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM ({_A1}) a JOIN ({_A1}) b ON a.i = b.i GROUP BY 1, 2"
+
+
+@query(f"SELECT a.i, round(sum(a.v * x.v), 4) AS v FROM ({_A}) a JOIN ({_X}) x ON a.j = x.i GROUP BY a.i")
+def spmv(spark, d):
+    return _r(mx.spmv(_matrix(spark, d), _supplier(spark, d)), 4, "v")
+
+
+@query(f"SELECT a.j AS i, round(sum(a.v * p.p_retailprice), 3) AS v FROM ({_A}) a JOIN part p ON a.i = p.p_partkey GROUP BY a.j")
+def spmv_transpose(spark, d):
+    return _r(mx.spmv_transpose(_matrix(spark, d), vec.from_columns(_t(spark, d, "part"), "p_partkey", "p_retailprice")), 3, "v")
+
+
+@query(f"SELECT i, sum(v) AS v FROM ({_A}) GROUP BY i")
+def rowsum_lumped(spark, d):
+    return mx.row_sums(_matrix(spark, d))
+
+
+@query(f"SELECT a.i, round(p.p_retailprice / sum(a.v), 8) AS v FROM ({_A}) a JOIN part p ON a.i = p.p_partkey GROUP BY a.i, p.p_retailprice")
+def lumped_solve(spark, d):
+    return _r(mx.lumped_solve(_matrix(spark, d), vec.from_columns(_t(spark, d, "part"), "p_partkey", "p_retailprice")), 8, "v")
+
+
+@query(f"SELECT a.i, round(sum(a.v * x.v), 4) AS x0, sum(a.v) AS x1 FROM ({_A}) a JOIN ({_X}) x ON a.j = x.i GROUP BY a.i")
+def spmm(spark, d):
+    x = _supplier(spark, d).select("i", F.array("v", F.lit(1.0)).alias("x"))
+    return mx.spmm(_matrix(spark, d), x, 2).select("i", F.round(F.col("x")[0], 4).alias("x0"), F.col("x")[1].alias("x1"))
+
+
+@query(f"SELECT a.i, a.j, round(a.v * p.p_retailprice, 3) AS v FROM ({_A1}) a JOIN part p ON a.i = p.p_partkey")
+def diag_scale(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    return _r(mx.diag_scale(vec.from_columns(_t(spark, d, "part"), "p_partkey", "p_retailprice"), a), 3, "v")
+
+
+@query("SELECT l_partkey AS i, l_suppkey AS j, round(sum(l_quantity - 2 * l_discount), 4) AS v FROM lineitem GROUP BY 1, 2")
+def mat_add(spark, d):
+    return _r(mx.add(_matrix(spark, d), _matrix(spark, d, "l_discount"), 1.0, -2.0), 4, "v")
+
+
+@query(_ATA)
+def mat_atb(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    return mx.mat_atb(a, a)
+
+
+@query(f"SELECT p.s_nationkey::BIGINT AS i, q.s_nationkey::BIGINT AS j, sum(m.v) AS v FROM ({_ATA}) m JOIN supplier p ON m.i = p.s_suppkey JOIN supplier q ON m.j = q.s_suppkey GROUP BY 1, 2")
+def triple_product(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    p = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("bigint").alias("j"), F.lit(1.0).alias("v"))
+    return mx.ptap(mx.mat_atb(a, a), p)
+
+
+@query(f"SELECT i, v FROM ({_ATA}) WHERE i = j")
+def mat_diag(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    return mx.diagonal(mx.mat_atb(a, a))
+
+
+@query(f"SELECT sum(v) AS trace FROM ({_ATA}) WHERE i = j")
+def mat_trace(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    return mx.trace(mx.mat_atb(a, a))
+
+
+@query(f"SELECT i, j, CASE WHEN i = j AND i % 3 = 0 THEN 1.0 ELSE v END AS v FROM ({_ATA})")
+def set_diag(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    return mx.set_diagonal(mx.mat_atb(a, a), _t(spark, d, "supplier").select(F.col("s_suppkey").alias("i")).filter("i % 3 = 0"), 1.0)
+
+
+@query(f"SELECT s_suppkey AS i FROM supplier WHERE s_suppkey NOT IN (SELECT i FROM ({_A}) WHERE i = j)")
+def missing_diagonals(spark, d):
+    return mx.missing_diagonals(_matrix(spark, d), _t(spark, d, "supplier").select(F.col("s_suppkey").alias("i")))
+
+
+@query(f"SELECT max(abs(v)) AS defect FROM (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM ({_A}) UNION ALL SELECT j, i, -v FROM ({_A})) GROUP BY 1, 2)")
+def sym_defect(spark, d):
+    return mx.symmetry_defect(_matrix(spark, d))
+
+
+@query("SELECT DISTINCT l_partkey AS i, l_suppkey AS j FROM lineitem")
+def pattern_distinct(spark, d):
+    return mx.pattern(_matrix(spark, d))
+
+
+@query("SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY CASE WHEN i = j THEN 0 ELSE 1 END, j) - 1 AS slot FROM (SELECT DISTINCT l_partkey AS i, l_suppkey AS j FROM lineitem)")
+def pattern_csr(spark, d):
+    return mx.pattern_csr(_matrix(spark, d))
+
+
+@query(_A1)
+def scatter_add(spark, d):
+    return mx.scatter_add(_matrix(spark, d))
+
+
+@query("SELECT l_returnflag AS block, l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3")
+def scatter_fused_blocks(spark, d):
+    return mx.scatter_blocks(_t(spark, d, "lineitem").select(F.col("l_returnflag").alias("block"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v")))
+
+
+@query(f"SELECT 'A' AS block, i, j, v FROM ({_A1}) UNION ALL SELECT 'At', j, i, v FROM ({_A1})")
+def scatter_derived(spark, d):
+    return mx.scatter_derived(_matrix(spark, d))
+
+
+_IDS = "SELECT s_suppkey FROM supplier WHERE s_acctbal < 0"
+
+
+def _eliminated(spark, d, diag):
+    a = _matrix(spark, d)
+    return mx.eliminate(mx.mat_atb(mx.scatter_add(a), mx.scatter_add(a)), _t(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("i")), diag)
+
+
+_REST = f"SELECT i, j, v FROM ({_ATA}) WHERE i NOT IN ({_IDS}) AND j NOT IN ({_IDS})"
+
+
+@query(f"{_REST} UNION ALL SELECT s_suppkey, s_suppkey, 1.0 FROM supplier WHERE s_acctbal < 0")
+def eliminate_one(spark, d):
+    return _eliminated(spark, d, "one")
+
+
+@query(_REST)
+def eliminate_zero(spark, d):
+    return _eliminated(spark, d, "zero")
+
+
+@query(f"{_REST} UNION ALL SELECT i, j, v FROM ({_ATA}) WHERE i = j AND i IN ({_IDS})")
+def eliminate_keep(spark, d):
+    return _eliminated(spark, d, "keep")
+
+
+@query(f"SELECT i, j, v FROM ({_A1}) WHERE i IN ({_IDS}) OR j IN ({_IDS})")
+def masked_slots(spark, d):
+    return mx.masked_slots(mx.scatter_add(_matrix(spark, d)), _t(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("i"))).select("i", "j", "v")
+
+
+@query("SELECT s_suppkey AS i, CASE WHEN s_nationkey < 5 THEN s_nationkey::DOUBLE ELSE s_acctbal END AS v FROM supplier")
+def apply_essential(spark, d):
+    ess = _t(spark, d, "supplier").filter("s_nationkey < 5").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("double").alias("value"))
+    return mx.apply_essential(_supplier(spark, d), ess)
+
+
+@query("SELECT s_suppkey AS i, CASE WHEN s_nationkey >= 20 THEN 1.0 ELSE s_nationkey END::DOUBLE AS value FROM supplier WHERE s_nationkey < 5 OR s_nationkey >= 20")
+def union_conditions(spark, d):
+    s = _t(spark, d, "supplier")
+    a = s.filter("s_nationkey < 5").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("double").alias("value"))
+    return mx.union_conditions(a, s.filter("s_nationkey >= 20").select(F.col("s_suppkey").alias("i"), F.lit(1.0).alias("value")))
+
+
+@query("SELECT l_partkey AS i, round(sum(l_extendedprice - CAST(l_extendedprice AS FLOAT)::DOUBLE), 7) AS v FROM lineitem GROUP BY 1")
+def row_defect(spark, d):
+    return _r(mx.row_defect(_matrix(spark, d, "l_extendedprice")), 7, "v")
+
+
+@query("SELECT true AS same UNION ALL SELECT false")
+def td_operator_change(spark, d):
+    a = mx.scatter_add(_matrix(spark, d))
+    changed = a.withColumn("v", F.col("v") * F.when(F.col("j") == 3, 1.001).otherwise(1.0))
+    x = _supplier(spark, d)
+    return mx.operators_equal(a, a, x).unionByName(mx.operators_equal(a, changed, x))
+
+
+# Multivectors and low rank.
+
+
+def _mv_sql(k: int = 6) -> str:
+    return f"SELECT vec_id AS i, u.k AS k, embedding[u.k + 1]::DOUBLE AS a FROM embeddings CROSS JOIN range({k}) u(k)"
+
+
+@query(f"SELECT p.k::INT AS k, q.k::INT AS l, round(sum(p.a * q.a), 6) AS v FROM ({_mv_sql()}) p JOIN ({_mv_sql()}) q ON p.i = q.i GROUP BY 1, 2")
+def mv_gram(spark, d):
+    return _r(vec.gram(_embeddings(spark, d)), 6, "v")
+
+
+@query(f"SELECT k::INT AS k, round(sqrt(sum(a * a)), 7) AS l2, max(abs(a)) AS linf FROM ({_mv_sql()}) GROUP BY 1")
+def mv_norms(spark, d):
+    return _r(vec.mv_norms(_embeddings(spark, d)), 7, "l2")
+
+
+@query(f"SELECT p.k::INT AS k, round(sum(p.a * x.v), 3) AS v FROM ({_mv_sql()}) p JOIN ({_Y}) x ON p.i = x.i GROUP BY 1")
+def mv_dot_v(spark, d):
+    return _r(vec.dot_v(_embeddings(spark, d), _customer(spark, d)), 3, "v")
+
+
+@query(f"SELECT i, round(sum(a * (k + 1)), 7) AS v FROM ({_mv_sql()}) GROUP BY i")
+def mv_reduce(spark, d):
+    return _r(vec.reduce(_embeddings(spark, d), range(1, 7)), 7, "v")
+
+
+@query(f"SELECT i, round(sum(a * (k + 1)), 7) AS y0, round(sum(a * (k - 2.5)), 7) AS y1 FROM ({_mv_sql()}) GROUP BY i")
+def mv_small_mult(spark, d):
+    y = vec.small_mult(_embeddings(spark, d), [[k + 1, k - 2.5] for k in range(6)])
+    return y.select("i", F.round(F.col("x")[0], 7).alias("y0"), F.round(F.col("x")[1], 7).alias("y1"))
+
+
+@query(f"WITH u AS ({_mv_sql()}), w AS (SELECT k, (6 - k) * sum(a * v) AS w FROM u JOIN ({_Y}) x ON u.i = x.i GROUP BY k) SELECT i, round(sum(a * w), 3) AS v FROM u JOIN w USING (k) GROUP BY i")
+def lowrank_apply(spark, d):
+    return _r(mx.lowrank_apply(_embeddings(spark, d), [6, 5, 4, 3, 2, 1], _customer(spark, d)), 3, "v")
+
+
+@query(f"SELECT i, round(sum(a * a * (6 - k)), 7) AS v FROM ({_mv_sql()}) GROUP BY i")
+def lowrank_diag(spark, d):
+    return _r(mx.lowrank_diag(_embeddings(spark, d), [6, 5, 4, 3, 2, 1]), 7, "v")
+
+
+@query(f"SELECT round(sum(a * a * (6 - k)), 6) AS trace FROM ({_mv_sql()})")
+def lowrank_trace(spark, d):
+    return _r(mx.lowrank_trace(_embeddings(spark, d), [6, 5, 4, 3, 2, 1]), 6, "trace")
+
+
+# Meshes, assembly, observation.
+
+_M = N + 1
+_TRI = (
+    f"SELECT 2 * c.c + h.h AS e, (c.c // {N}) * {_M} + c.c % {N} AS a, (c.c // {N}) * {_M} + c.c % {N} + CASE WHEN h.h = 0 THEN 1 ELSE {_M + 1} END AS b, "
+    f"(c.c // {N}) * {_M} + c.c % {N} + CASE WHEN h.h = 0 THEN {_M + 1} ELSE {_M} END AS d FROM range({N * N}) c(c) CROSS JOIN range(2) h(h)"
+)
+_LOC = f"SELECT e, 0 AS k, a AS i, b AS nx, d AS pv FROM ({_TRI}) UNION ALL SELECT e, 1, b, d, a FROM ({_TRI}) UNION ALL SELECT e, 2, d, a, b FROM ({_TRI})"
+_GRAD = f"SELECT e, k, i, {N}e0 * (nx // {_M} - pv // {_M}) AS gx, {N}e0 * (pv % {_M} - nx % {_M}) AS gy FROM ({_LOC})"
+_MID = f"SELECT e, avg((i % {_M}) / {N}e0) AS cx, avg((i // {_M}) / {N}e0) AS cy FROM ({_LOC}) GROUP BY e"
+
+
+def _field() -> Column:
+    mid = lambda c: (F.col(c)[0] + F.col(c)[1] + F.col(c)[2]) / 3
+    return F.exp(F.sin(F.lit(3.141592653589793) * mid("x")) * F.sin(F.lit(3.141592653589793) * mid("y")))
+
+
+@query(f"SELECT v AS vid, (v % {_M}) / {N}e0 AS x, (v // {_M}) / {N}e0 AS y FROM range({_M * _M}) r(v)")
+def mesh_vertices(spark, d):
+    return mesh.vertices(spark, N)
+
+
+@query(f"SELECT e, k::INT AS a, i FROM ({_LOC})")
+def elem_dofs(spark, d):
+    return mesh.elem_dofs(mesh.triangles(spark, N))
+
+
+@query(
+    f"SELECT p.i, q.i AS j, round(sum(exp(sin(pi() * cx) * sin(pi() * cy)) * (p.gx * q.gx + p.gy * q.gy) * {0.5 / N / N}), 9) + 0.0 AS v "
+    f"FROM ({_GRAD}) p JOIN ({_GRAD}) q ON p.e = q.e JOIN ({_MID}) m ON m.e = p.e GROUP BY 1, 2"
+)
+def p1_stiffness(spark, d):
+    return mx.scatter_add(mesh.stiffness_entries(mesh.triangles(spark, N), _field())).select("i", "j", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@query(f"SELECT p.i, q.i AS j, round(sum(CASE WHEN p.k = q.k THEN {1 / 6 * 0.5 / N / N!r} ELSE {1 / 12 * 0.5 / N / N!r} END), 12) AS v FROM ({_LOC}) p JOIN ({_LOC}) q ON p.e = q.e GROUP BY 1, 2")
+def p1_mass(spark, d):
+    return _r(mx.scatter_add(mesh.mass_entries(mesh.triangles(spark, N))), 12, "v")
+
+
+@query(f"SELECT i, round(sum(cx * cy * {0.5 / N / N / 3!r}), 12) AS v FROM ({_LOC}) JOIN ({_MID}) USING (e) GROUP BY i")
+def p1_load(spark, d):
+    mid = lambda c: (F.col(c)[0] + F.col(c)[1] + F.col(c)[2]) / 3
+    return _r(mx.scatter_vector(mesh.load_entries(mesh.triangles(spark, N), mid("x") * mid("y"))), 12, "v")
+
+
+_BDR = (
+    f"SELECT b, (b // {N} + 1)::INT AS attr, CASE b // {N} WHEN 0 THEN b % {N} WHEN 1 THEN (b % {N}) * {_M} + {N} WHEN 2 THEN {N * _M} + b % {N} ELSE (b % {N}) * {_M} END AS v0, "
+    f"CASE b // {N} WHEN 0 THEN b % {N} + 1 WHEN 1 THEN (b % {N} + 1) * {_M} + {N} WHEN 2 THEN {N * _M} + b % {N} + 1 ELSE (b % {N} + 1) * {_M} END AS v1, {1 / N}::DOUBLE AS length FROM range({4 * N}) r(b)"
+)
+
+
+@query(_BDR)
+def mesh_boundary(spark, d):
+    return mesh.boundary(spark, N)
+
+
+@query(f"WITH x AS (SELECT b, 0 AS a, v0 AS i FROM ({_BDR}) UNION ALL SELECT b, 1, v1 FROM ({_BDR})) SELECT p.i, q.i AS j, round(sum({1 / N} / CASE WHEN p.a = q.a THEN 3e0 ELSE 6e0 END), 12) AS v FROM x p JOIN x q ON p.b = q.b GROUP BY 1, 2")
+def p1_boundary_mass(spark, d):
+    return _r(mx.scatter_add(mesh.boundary_mass_entries(mesh.boundary(spark, N))), 12, "v")
+
+
+@query(f"SELECT DISTINCT unnest([v0, v1]) AS i FROM ({_BDR}) WHERE attr IN (1, 3)")
+def essential_dofs(spark, d):
+    return mesh.essential_indices(mesh.boundary(spark, N), [1, 3])
+
+
+_EDGE = f"SELECT e, least(i, nx) AS v0, greatest(i, nx) AS v1 FROM ({_LOC})"
+_FACETS = f"SELECT v0, v1, min(e) AS minus, max(e) AS plus FROM ({_EDGE}) GROUP BY 1, 2 HAVING count(*) = 2"
+
+
+@query(_FACETS)
+def interior_facets(spark, d):
+    return mesh.interior_facets(mesh.triangles(spark, N))
+
+
+@query(f"SELECT f.v0, f.v1, round(a.cx * a.cy - b.cx * b.cy, 10) AS jump, round((a.cx * a.cy + b.cx * b.cy) / 2, 10) AS avg FROM ({_FACETS}) f JOIN ({_MID}) a ON a.e = f.minus JOIN ({_MID}) b ON b.e = f.plus")
+def facet_jump(spark, d):
+    t = mesh.triangles(spark, N)
+    mid = lambda c: (F.col(c)[0] + F.col(c)[1] + F.col(c)[2]) / 3
+    w = t.select("e", (mid("x") * mid("y")).alias("w"))
+    sides = mesh.interior_facets(t).join(w.select(F.col("e").alias("minus"), F.col("w").alias("m")), "minus").join(w.select(F.col("e").alias("plus"), F.col("w").alias("p")), "plus")
+    return sides.select("v0", "v1", F.round(F.col("m") - F.col("p"), 10).alias("jump"), F.round((F.col("m") + F.col("p")) / 2, 10).alias("avg"))
+
+
+_PTS = "SELECT t, 0.013 + (t * 37 % 97) / 100e0 AS x, 0.017 + (t * 53 % 89) / 93e0 AS y FROM range(200) r(t)"
+_LAM = (
+    f"SELECT t, e, {N}e0 * y - {N}e0 * x AS s, x, y, e // 2 AS c FROM ({_PTS}) JOIN (SELECT 2 * c.c + h.h AS e FROM range({N * N}) c(c) CROSS JOIN range(2) h(h)) "
+    f"ON e // 2 = CAST(floor(y * {N}) AS BIGINT) * {N} + CAST(floor(x * {N}) AS BIGINT)"
+)
+_IN = f"SELECT t, min(e) AS e FROM (SELECT t, e, {N} * x - c % {N} AS u, {N} * y - c // {N} AS w FROM ({_LAM})) WHERE (e % 2 = 0 AND u >= w) OR (e % 2 = 1 AND u <= w) GROUP BY t"
+
+
+def _points(spark):
+    t = F.col("id")
+    return spark.range(200).select(t.alias("t"), (0.013 + (t * 37 % 97) / 100.0).alias("x"), (0.017 + (t * 53 % 89) / 93.0).alias("y"))
+
+
+@query(_IN)
+def point_location(spark, d):
+    return mesh.locate(_points(spark), mesh.triangles(spark, N), N).select("t", "e")
+
+
+@query(f"SELECT t AS i, round(3 * x - 2 * y, 9) AS v FROM ({_PTS})")
+def pointwise_obs(spark, d):
+    b = mesh.observation_matrix(_points(spark), mesh.triangles(spark, N), N)
+    u = mesh.vertices(spark, N).select(F.col("vid").alias("i"), (3 * F.col("x") - 2 * F.col("y")).alias("v"))
+    return _r(mx.spmv(b, u), 9, "v")
+
+
+@query("SELECT c AS e, [b, b + 1, b + 8, b + 7, b + 49, b + 50, b + 57, b + 56] AS v FROM (SELECT c, (c // 36) * 49 + (c // 6 % 6) * 7 + c % 6 AS b FROM range(216) r(c))")
+def box_mesh(spark, d):
+    return mesh.box(spark, 6)
+
+
+# Misfits and quantities of interest.
+
+_OBS = "SELECT o_orderkey AS t, o_totalprice AS bu, 1.1 * o_totalprice + (o_orderkey % 7) AS d, c_nationkey::BIGINT AS experiment FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def _obs(spark, d):
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("bu"), (1.1 * F.col("o_totalprice") + F.col("o_orderkey") % 7).alias("d"), F.col("c_nationkey").cast("bigint").alias("experiment")
+    )
+
+
+@query(f"SELECT round(sum((bu - d) * (bu - d)) / 2e8, 3) AS cost FROM ({_OBS})")
+def gauss_misfit(spark, d):
+    return _r(mf.gauss_cost(_obs(spark, d), 1e8), 3, "cost")
+
+
+@query(f"SELECT t, round((bu - d) / 1e3, 6) AS v FROM ({_OBS})")
+def gauss_misfit_grad(spark, d):
+    return _r(mf.gauss_residual(_obs(spark, d), 1e3), 6, "v")
+
+
+@query(f"SELECT round(4 * sum(ln(bu) + d / bu), 3) AS cost FROM ({_OBS})")
+def gamma_misfit(spark, d):
+    return _r(mf.gamma_cost(_obs(spark, d), 4.0), 3, "cost")
+
+
+@query(f"SELECT t, round(4e6 * (1 / bu - d / (bu * bu)), 6) AS v FROM ({_OBS})")
+def gamma_misfit_grad(spark, d):
+    return _r(mf.gamma_residual(_obs(spark, d), 4e6), 6, "v")
+
+
+@query(f"SELECT t, round(4e6 * (-1 / (bu * bu) + 2 * d / (bu * bu * bu)) * (t % 5), 8) AS v FROM ({_OBS})")
+def gamma_misfit_hess(spark, d):
+    return _r(mf.gamma_hessian(_obs(spark, d).withColumn("du", (F.col("t") % 5).cast("double")), 4e6), 8, "v")
+
+
+@query(f"SELECT experiment, round(sum((bu - d) * (bu - d)) / 2e8, 4) AS cost FROM ({_OBS}) GROUP BY 1")
+def multi_state_misfit(spark, d):
+    return _r(mf.per_experiment(_obs(spark, d), 1e8), 4, "cost")
+
+
+@query(f"SELECT round(sum(power((bu - d) / (100 + t % 9), 2)) / 2, 1) AS cost FROM ({_OBS})")
+def weighted_misfit(spark, d):
+    return _r(mf.weighted_cost(_obs(spark, d).withColumn("sigma", (100 + F.col("t") % 9).cast("double"))), 1, "cost")
+
+
+@query("SELECT round(0.01 * greatest(max(abs(s_acctbal)), 1e-30), 6) AS sigma FROM supplier")
+def noise_level(spark, d):
+    return _r(mf.observed_noise_level(_supplier(spark, d), 0.01), 6, "sigma")
+
+
+@query("SELECT round(sum((o_orderkey % 10 + 1) * o_totalprice) / sum(o_orderkey % 10 + 1), 4) AS q FROM orders")
+def weighted_mean(spark, d):
+    o = _t(spark, d, "orders").withColumn("i", F.col("o_orderkey"))
+    return _r(mf.weighted_mean_qoi(o.select("i", (F.col("i") % 10 + 1).cast("double").alias("v")), o.select("i", F.col("o_totalprice").alias("v"))), 4, "q")
+
+
+@query(f"WITH m AS (SELECT p.i, q.i AS j, sum(CASE WHEN p.k = q.k THEN {1 / 6 * 0.5 / N / N!r} ELSE {1 / 12 * 0.5 / N / N!r} END) AS v FROM ({_LOC}) p JOIN ({_LOC}) q ON p.e = q.e GROUP BY 1, 2) SELECT round(0.5 * sum(v * (i % 7) * (j % 7)), 9) AS q FROM m")
+def l2_qoi(spark, d):
+    u = mesh.vertices(spark, N).select(F.col("vid").alias("i"), (F.col("vid") % 7).cast("double").alias("v"))
+    return _r(mf.quadratic_qoi(mx.spmv(mx.scatter_add(mesh.mass_entries(mesh.triangles(spark, N))), u), u), 9, "q")
+
+
+@query(f"WITH m AS (SELECT i, sum({1 / 3 * 0.5 / N / N!r}) AS w FROM ({_LOC}) GROUP BY 1) SELECT round(sum(w * (i % 7)) / sum(w), 9) AS q FROM m")
+def mean_state(spark, d):
+    u = mesh.vertices(spark, N).select(F.col("vid").alias("i"), (F.col("vid") % 7).cast("double").alias("v"))
+    return _r(mf.weighted_mean_qoi(mx.row_sums(mx.scatter_add(mesh.mass_entries(mesh.triangles(spark, N)))), u), 9, "q")
+
+
+# Trajectories.
+
+_TD = "SELECT (epoch_us(ts) // 3600000000)::BIGINT AS k, user_id AS i, sum(value) AS v FROM events GROUP BY 1, 2"
+
+
+def _trajectory(spark, d):
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("bigint")
+    return _t(spark, d, "events").groupBy(hour.alias("k"), F.col("user_id").alias("i")).agg(F.sum("value").alias("v"))
+
+
+@query(f"SELECT round(max(n), 5) AS norm FROM (SELECT sqrt(sum(v * v)) AS n FROM ({_TD}) GROUP BY k)")
+def td_norms(spark, d):
+    return _r(vec.td_norm(_trajectory(spark, d)), 5, "norm")
+
+
+@query(f"SELECT a.k, round(sum(a.v * b.v * 0.5), 6) AS \"inner\" FROM ({_TD}) a JOIN ({_TD}) b ON a.k = b.k AND a.i = b.i GROUP BY a.k")
+def td_inner_by_level(spark, d):
+    x = _trajectory(spark, d)
+    return _r(vec.td_inner_by_level(x, x.withColumn("v", 0.5 * F.col("v"))), 6, "inner")
+
+
+@query(f"SELECT k, i, round(3 * v, 5) AS v FROM ({_TD})")
+def td_axpy(spark, d):
+    x = _trajectory(spark, d)
+    return _r(vec.td_axpy(x, 2.0, x), 5, "v")
+
+
+@query("SELECT r.t / 4e0 AS t, min_by(k.k, abs(k.k * 0.7 - r.t / 4e0)) AS k FROM range(40) r(t) JOIN range(20) k(k) ON abs(k.k * 0.7 - r.t / 4e0) <= 0.31 GROUP BY 1")
+def td_nearest_level(spark, d):
+    levels = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 0.7).alias("t"))
+    return vec.td_index(levels, spark.range(40).select((F.col("id") / 4.0).alias("t")), 0.31)
+
+
+# Chains and slopes.
+
+_CHAIN = "SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k, value AS q FROM events"
+_ACF = (
+    f"WITH c AS ({_CHAIN}), x AS (SELECT key, k, q - avg(q) OVER (PARTITION BY key) AS d, count(*) OVER (PARTITION BY key) AS n FROM c), "
+    "r AS (SELECT a.key, l.l AS lag, sum(a.d * b.d) / any_value(a.n) AS c FROM x a CROSS JOIN range(21) l(l) JOIN x b ON a.key = b.key AND b.k = a.k + l.l GROUP BY 1, 2), "
+    "rho AS (SELECT r.key, r.lag, r.c / z.c AS rho FROM r JOIN r z ON z.key = r.key AND z.lag = 0)"
+)
+
+
+def _chain(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    return _t(spark, d, "events").select(F.col("event_type").alias("key"), (F.row_number().over(w).cast("bigint") - 1).alias("k"), F.col("value").alias("q"))
+
+
+@query(f"{_ACF} SELECT key, lag, round(rho, 9) AS rho FROM rho")
+def acf_by_key(spark, d):
+    return _r(dg.autocorrelation(_chain(spark, d), 20), 9, "rho")
+
+
+_IACT = "i AS (SELECT key, 1 + 2 * sum(CASE WHEN ok THEN rho ELSE 0 END) AS iact FROM (SELECT *, bool_and(rho >= 0) OVER (PARTITION BY key ORDER BY lag) AS ok FROM rho WHERE lag > 0) GROUP BY key)"
+
+
+@query(f"{_ACF}, {_IACT} SELECT key, round(iact, 8) AS iact FROM i")
+def iact_by_key(spark, d):
+    return _r(dg.iact(dg.autocorrelation(_chain(spark, d), 20)), 8, "iact")
+
+
+@query(f"{_ACF}, {_IACT} SELECT key, count(*) AS n, round(avg(q), 7) AS mean, round(stddev_samp(q), 7) AS std, round(any_value(iact), 7) AS iact, round(count(*) / any_value(iact), 5) AS ess, round(stddev_samp(q) / sqrt(count(*) / any_value(iact)), 7) AS mcse FROM c JOIN i USING (key) GROUP BY key")
+def chain_summary(spark, d):
+    return _r(_r(dg.chain_summary(_chain(spark, d), 20), 7, "mean", "std", "iact", "mcse"), 5, "ess")
+
+
+@query("SELECT event_id, round(exp(-value / 100 - m) / sum(exp(-value / 100 - m)) OVER (PARTITION BY event_type), 12) AS weight FROM (SELECT *, max(-value / 100) OVER (PARTITION BY event_type) AS m FROM events)")
+def is_weights(spark, d):
+    s = _t(spark, d, "events").select("event_id", F.col("event_type").alias("key"), (-F.col("value") / 100).alias("logw"))
+    return dg.importance_weights(s).select("event_id", F.round("weight", 12).alias("weight"))
+
+
+@query("SELECT event_type AS key, count(*) AS n, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS accepted FROM events GROUP BY 1")
+def accept_rate(spark, d):
+    return _t(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 100).cast("bigint")).alias("accepted"))
+
+
+_EPS = "SELECT key, exp(-0.5e0 * s * ln(10e0)) AS eps, (key + 1) * exp(-0.5e0 * s * ln(10e0)) + CASE WHEN s = 9 THEN 1e-6 ELSE 0 END AS err FROM range(3) a(key) CROSS JOIN range(20) b(s)"
+
+
+def _slopes(spark):
+    from pyspark.sql import functions as F
+
+    eps = F.exp(F.lit(-0.5) * F.col("s") * F.ln(F.lit(10.0)))
+    rows = spark.range(60).select((F.col("id") % 3).alias("key"), F.floor(F.col("id") / 3).alias("s"))
+    return rows.select("key", eps.alias("eps"), ((F.col("key") + 1) * eps + F.when(F.col("s") == 9, 1e-6).otherwise(0.0)).alias("err"))
+
+
+_SLOPE = f"SELECT key, eps, ln(err / lead(err) OVER w) / ln(eps / lead(eps) OVER w) AS slope FROM ({_EPS}) WINDOW w AS (PARTITION BY key ORDER BY eps DESC)"
+
+
+@query(f"SELECT key, round(log10(eps), 6) + 0.0 AS e, round(slope, 6) AS slope FROM ({_SLOPE})")
+def fd_slopes(spark, d):
+    return dg.fd_slopes(_slopes(spark)).select("key", (F.round(F.log10("eps"), 6) + 0.0).alias("e"), F.round("slope", 6).alias("slope"))
+
+
+@query(f"SELECT key, round(median(slope), 6) AS slope FROM ({_SLOPE}) WHERE slope IS NOT NULL AND eps BETWEEN 1e-7 AND 1e-2 GROUP BY key")
+def best_slope(spark, d):
+    return _r(dg.best_slope(dg.fd_slopes(_slopes(spark))), 6, "slope")
+
+
+_CV = "SELECT o_orderstatus AS key, o_totalprice AS q, 20 * c_acctbal AS t FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@query(f"SELECT key, round(avg(q), 5) AS mean_q, round(stddev_samp(q) / sqrt(count(*)), 6) AS err_q, round(avg(q - t), 5) AS mean_d, round(stddev_samp(q - t) / sqrt(count(*)), 6) AS err_d, round(power(stddev_samp(q) / stddev_samp(q - t), 2), 8) AS factor FROM ({_CV}) GROUP BY key")
+def control_variate(spark, d):
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    s = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderstatus").alias("key"), F.col("o_totalprice").alias("q"), (20 * F.col("c_acctbal")).alias("t"))
+    return _r(_r(_r(dg.control_variate(s), 5, "mean_q", "mean_d"), 6, "err_q", "err_d"), 8, "factor")
+
+
+_SPEC = f"SELECT sqrt(sum(a * a)) AS d FROM ({_mv_sql()}) GROUP BY k"
+
+
+@query(f"SELECT round(0.5 * sum(ln(1 + d)) - 0.5 * sum(d / (1 + d)), 8) AS kl FROM ({_SPEC})")
+def kl_terms(spark, d):
+    return _r(dg.kl_terms(vec.mv_norms(_embeddings(spark, d)).select(F.col("l2").alias("d"))), 8, "kl")
+
+
+@query(f"SELECT round(0.5 * sum(d), 7) AS mean_part, round(0.5 * sum(d * d), 6) AS variance_part FROM ({_SPEC})")
+def taylor_moments(spark, d):
+    return _r(_r(dg.taylor_moments(vec.mv_norms(_embeddings(spark, d)).select(F.col("l2").alias("d"))), 7, "mean_part"), 6, "variance_part")
+
+
+# Operators of the applications.
+
+
+def _depths(spark):
+    return spark.range(64).select(F.col("id"), (F.col("id") / 64.0).alias("x"))
+
+
+@query("WITH n(xk, fk) AS (VALUES (0.1e0, 1e0), (0.4e0, 3e0), (0.8e0, 2e0)) SELECT r.id, round(sum(exp(-power((r.id / 64e0 - xk) / 0.2, 2)) * fk) / sum(exp(-power((r.id / 64e0 - xk) / 0.2, 2))), 9) AS v FROM range(64) r(id) CROSS JOIN n GROUP BY r.id")
+def density_lookup(spark, d):
+    return _depths(spark).select("id", F.round(applied.kernel_lookup(F.col("x"), [(0.1, 1.0), (0.4, 3.0), (0.8, 2.0)], 0.2), 9).alias("v"))
+
+
+@query("SELECT id, CASE WHEN id / 64e0 < 0.25 THEN 0 WHEN id / 64e0 < 0.5 THEN 1 ELSE 2 END::INT AS layer FROM range(64) r(id)")
+def piecewise_class(spark, d):
+    return _depths(spark).select("id", applied.piecewise_class(F.col("x"), [0.25, 0.5]).alias("layer"))
+
+
+@query("SELECT (id % 20) // 4 AS cx, (id // 20) // 4 AS cy, avg(id % 13)::DOUBLE AS v FROM range(400) r(id) WHERE id % 13 > 1 GROUP BY 1, 2")
+def grid_coarsen(spark, d):
+    raster = spark.range(400).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"), (F.col("id") % 13).cast("double").alias("v"))
+    return applied.grid_coarsen(raster.filter("v > 1"), 4)
+
+
+@query("SELECT user_id AS receiver, f.f AS freq, round(sum(value * cos(2 * pi() * f.f * (event_id % 100) / 100)), 6) AS re, round(sum(-value * sin(2 * pi() * f.f * (event_id % 100) / 100)), 6) AS im FROM events CROSS JOIN range(3) f(f) GROUP BY 1, 2")
+def fourier_coeffs(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("receiver"), (F.col("event_id") % 100).alias("n"), F.col("value").alias("v"))
+    return _r(applied.fourier_coefficients(e, 100, 3), 6, "re", "im")
+
+
+@query("SELECT id, round((1 - 2 * a) * exp(-a), 10) AS w FROM (SELECT id, power(pi() * 8 * (id / 64e0 - 0.15), 2) AS a FROM range(64) r(id))")
+def ricker(spark, d):
+    return _depths(spark).select("id", F.round(applied.ricker(F.col("x"), 8.0, 0.15), 10).alias("w"))
+
+
+@query("SELECT id FROM range(400) r(id) WHERE (id % 20 - 2) % 5 = 0 AND (id // 20 - 1) % 5 = 0 AND id % 20 >= 2 AND id // 20 >= 1")
+def comb_points(spark, d):
+    grid = spark.range(400).select("id", (F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"))
+    return applied.comb(grid, {"x": 2, "y": 1}, 5).select("id")
+
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@query("SELECT a.id AS i, b.id AS j, round(exp(-sqrt(power(a.id % 20 - b.id % 20, 2) + power(a.id // 20 - b.id // 20, 2))), 10) AS v FROM range(400) a(id) JOIN range(400) b(id) ON power(a.id % 20 - b.id % 20, 2) + power(a.id // 20 - b.id // 20, 2) < 9")
+def entries_within_reach(spark, d):
+    grid = spark.range(400).select(F.col("id").alias("i"), (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
+    near = applied.within_reach(grid, grid, 3.0)
+    return near.select("i", "j", F.round(F.exp(-F.col("distance")), 10).alias("v"))
 
 
-def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
-    x = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("x"))
-    return a.join(x, "j").groupBy("i").agg(F.round(F.sum(F.col("v") * F.col("x")), 4).alias("v"))
+@query("WITH s AS (SELECT id % 11 AS x, id // 11 AS z, sqrt(1e0 + id) AS c FROM range(121) r(id)), p AS (SELECT id, id / 64e0 * 9.9 AS x, 9.7 - id / 64e0 * 9 AS z FROM range(64) r(id)) SELECT p.id, round(sum(s.c * (1 - abs(p.x - s.x)) * (1 - abs(p.z - s.z))), 9) AS v FROM p JOIN s ON s.x BETWEEN floor(p.x) AND floor(p.x) + 1 AND s.z BETWEEN floor(p.z) AND floor(p.z) + 1 GROUP BY p.id")
+def bilinear_lookup(spark, d):
+    table = spark.range(121).select((F.col("id") % 11).alias("x"), F.floor(F.col("id") / 11).alias("z"), F.sqrt(1.0 + F.col("id")).alias("c"))
+    points = _depths(spark).select("id", (F.col("x") * 9.9).alias("px"), (9.7 - F.col("x") * 9).alias("pz"))
+    return _r(applied.bilinear(points, table), 9, "v")
 
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "spmv": (spmv, "SELECT l_partkey AS i, round(sum(l_quantity * s_acctbal), 4) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey"),
-}
+@query("SELECT id, round(CASE WHEN id / 64e0 < 0.2 THEN 13 - 8 * (id / 64e0) ELSE 9 + (id / 64e0) - 2 * power(id / 64e0, 2) END, 10) AS rho FROM range(64) r(id)")
+def layered_profile(spark, d):
+    return _depths(spark).select("id", F.round(applied.layered(F.col("x"), [(0.2, [13.0, -8.0]), (float("inf"), [9.0, 1.0, -2.0])]), 10).alias("rho"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
 
