@@ -98,4 +98,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int =
         return run
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, widened long", text_col, 8 << 20)
+    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, widened long", text_col, 2 << 20)

@@ -53,7 +53,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFram
 
         return run
 
-    return map_batches(docs.select("id", "part", "seq", "text"), make, "id long, part int, seq long, n_tokens long, tokens array<int>", "text", 8 << 20)
+    return map_batches(docs.select("id", "part", "seq", "text"), make, "id long, part int, seq long, n_tokens long, tokens array<int>", "text", 2 << 20)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20) -> None:

@@ -20,9 +20,10 @@ from itertools import chain
 #: Texts that are cut here, and how the vocabulary cuts their words in lower case.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\n\x0b\x0c\r]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PRINTABLE = bytes([*range(33, 127), 32, *range(9, 14)])
 MARKS = frozenset(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Entries of either half of the cache: the older half goes when the newer is full.
-CACHE = 400_000
+CACHE = 300_000
 
 
 class WordEncoder:
@@ -60,7 +61,7 @@ class WordEncoder:
             s = t.decode("utf-8", "replace")
             if any(a in s for a in self.added):
                 split.append(None)
-            elif self.cuts and PLAIN.fullmatch(s):
+            elif self.cuts and (not t.translate(None, PRINTABLE) or PLAIN.fullmatch(s)):
                 split.append(words := s.lower().split())
                 plain.update(words)
             else:
