@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstone.functions import applied
+from fieldstone.functions import applied, philox
 from fieldstone.operators import diagnostics as dg
+from fieldstone.operators import krylov, randomized
 from fieldstone.operators import matrix as mx
 from fieldstone.operators import misfits as mf
 from fieldstone.operators import vector as vec
+from fieldstone.shared import written
 from fieldstone.sources import mesh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,6 +681,146 @@ def layered_profile(spark, d):
     return _depths(spark).select("id", F.round(applied.layered(F.col("x"), [(0.2, [13.0, -8.0]), (float("inf"), [9.0, 1.0, -2.0])]), 10).alias("rho"))
 
 
+# Iterations of fixed length, and the iterative plans.
+
+_AM = (
+    f"SELECT p.i, q.i AS j, sum((p.gx * q.gx + p.gy * q.gy) * {0.5 / N / N} + 30e0 * CASE WHEN p.k = q.k THEN {1 / 6 * 0.5 / N / N!r} ELSE {1 / 12 * 0.5 / N / N!r} END) AS v "
+    f"FROM ({_GRAD}) p JOIN ({_GRAD}) q ON p.e = q.e GROUP BY 1, 2"
+)
+
+
+def _system(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Stiffness plus 30 times mass on the square, and a right-hand side."""
+    t = mesh.triangles(spark, N)
+    a = mx.scatter_add(mesh.stiffness_entries(t).unionByName(mesh.mass_entries(t, 30.0)))
+    return a, mesh.vertices(spark, N).select(F.col("vid").alias("i"), (F.col("vid") % 5 + 1).cast("double").alias("v"))
+
+
+def _jacobi_sql(steps: int) -> str:
+    out = f"WITH a AS MATERIALIZED ({_AM}), b AS (SELECT v AS i, (v % 5 + 1)::DOUBLE AS v FROM range({_M * _M}) r(v)), d AS (SELECT i, v FROM a WHERE i = j), x0 AS (SELECT b.i, b.v / d.v AS v FROM b JOIN d USING (i))"
+    for k in range(steps):
+        out += f", x{k + 1} AS MATERIALIZED (SELECT x.i, any_value(x.v) + 0.6e0 * (any_value(b.v) - sum(a.v * y.v)) / any_value(d.v) AS v FROM a JOIN x{k} y ON a.j = y.i JOIN x{k} x ON x.i = a.i JOIN b ON b.i = a.i JOIN d ON d.i = a.i GROUP BY x.i)"
+    return out + f" SELECT i, round(v, 7) AS v FROM x{steps}"
+
+
+@query(_jacobi_sql(4))
+def jacobi_fixed(spark, d):
+    a, b = _system(spark)
+    a = written(a, "system")
+    diag = written(mx.diagonal(a), "diagonal")
+    x = vec.pointwise_divide(b, diag)
+    for _ in range(4):
+        x = written(vec.axpy(x, 0.6, vec.pointwise_divide(vec.axpby(1.0, b, -1.0, mx.spmv(a, x)), diag)), "x")
+    return _r(x, 7, "v")
+
+
+def _chebyshev_sql(lo: float, hi: float, degree: int) -> str:
+    theta, delta = (hi + lo) / 2, (hi - lo) / 2
+    sigma, rho = theta / delta, delta / theta
+    out = f"WITH a AS MATERIALIZED ({_AM}), r0 AS (SELECT v AS i, (v % 5 + 1)::DOUBLE AS v FROM range({_M * _M}) r(v)), d0 AS (SELECT i, v * {1 / theta!r}::DOUBLE AS v FROM r0), x0 AS (SELECT * FROM d0)"
+    for k in range(degree - 1):
+        fresh = 1 / (2 * sigma - rho)
+        out += f", r{k + 1} AS MATERIALIZED (SELECT r.i, r.v - s.v AS v FROM r{k} r JOIN (SELECT a.i, sum(a.v * d.v) AS v FROM a JOIN d{k} d ON a.j = d.i GROUP BY a.i) s USING (i))"
+        out += f", d{k + 1} AS MATERIALIZED (SELECT i, d.v * {fresh * rho!r}::DOUBLE + r.v * {2 * fresh / delta!r}::DOUBLE AS v FROM d{k} d JOIN r{k + 1} r USING (i))"
+        out += f", x{k + 1} AS MATERIALIZED (SELECT i, x.v + d.v AS v FROM x{k} x JOIN d{k + 1} d USING (i))"
+        rho = fresh
+    return out + f" SELECT i, round(v, 6) AS v FROM x{degree - 1}"
+
+
+@query(_chebyshev_sql(0.05, 8.0, 6))
+def chebyshev_fixed(spark, d):
+    a, b = _system(spark)
+    return _r(krylov.chebyshev(krylov.frame_operator(written(a, "system")), krylov.Vec(b), 0.05, 8.0, 6).df, 6, "v")
+
+
+@query(None)
+def cg_solve(spark, d):
+    """Poisson's equation by conjugate gradients on frames, to a relative residual of 1e-4."""
+    return krylov.frame_cg(*_system(spark), rel=1e-4).x
+
+
+@query(None)
+def rand_eig(spark, d):
+    """Leading eigenpairs of A^T A of lineitem by a randomised double pass on frames."""
+    a = mx.scatter_add(_matrix(spark, d))
+    g = written(mx.mat_atb(a, a), "gram")
+    omega = g.select("i").distinct()
+    for k in range(8):
+        omega = philox.with_draws(omega.withColumn("s", F.col("i") * 8 + k), "s", 7, name=f"x{k}").drop("s")
+    omega = written(omega.select("i", F.array(*[f"x{k}" for k in range(8)]).alias("x")), "omega")
+    values, u = randomized.frame_double_pass(g, omega, 8, 4, 2)
+    return u.select("i", F.col("x").alias("u"), F.array(*[F.lit(float(v)) for v in values]).alias("d"))
+
+
+@query(None)
+def rand_svd(spark, d):
+    """Singular values of the embeddings' first columns from one Gram aggregate."""
+    sigma, images = randomized.frame_gram_svd(_embeddings(spark, d), 6)
+    return images.select("i", "x", F.array(*[F.lit(float(v)) for v in sigma]).alias("sigma"))
+
+
+@query(None)
+def philox_uniform(spark, d):
+    return philox.with_draws(spark.range(1000), "id", 42, "uniform", name="u")
+
+
+@query(None)
+def philox_normal(spark, d):
+    return philox.with_draws(spark.range(1000), "id", 42, "normal", name="z")
+
+
+def _map_problem():
+    """A small diffusion problem with noisy point data, and its optimum."""
+    from fieldstone.functions import jet
+    from fieldstone.plans import inverse, spaces
+
+    v = spaces.Space(spaces.Square(6))
+    ess = v.on_boundary(1, 3)
+    problem = inverse.Problem(v, v, lambda u, m, p, x: jet.exp(m.val) * jet.inner(u.grad, p.grad), ess, v.coordinates[ess, 1])
+    prior = inverse.bilaplacian_prior(v, 0.1, 0.5, robin=True)
+    b = v.observation(np.array([[0.21 + 0.19 * (k % 4), 0.22 + 0.18 * (k // 4)] for k in range(16)]))
+    data, sigma = inverse.observe(b, problem.solve_forward(prior.sample(philox.Random(1).normal(v.dim))), 0.01, philox.Random(2))
+    model = inverse.Model(problem, prior, inverse.GaussianMisfit(b, data, sigma**2))
+    return model, inverse.newton_cg(model, np.zeros(v.dim))
+
+
+@query(None)
+def map_point(spark, d):
+    """MAP point and Laplace variance of a diffusion coefficient."""
+    from fieldstone.plans import inverse
+
+    model, opt = _map_problem()
+    post, prior, less = inverse.laplace(model, opt, philox.Random(3), 16).pointwise_variance()
+    rows = [(k, *map(float, r)) for k, r in enumerate(zip(opt.m, post, prior, less, strict=True))]
+    return spark.createDataFrame(rows, "i long, m double, posterior_variance double, prior_variance double, reduction double")
+
+
+@query(None)
+def chain_samples(spark, d):
+    """Independent chains, one per task, with their summary."""
+    from fieldstone.plans import chains
+
+    def make():
+        model, opt = _map_problem()
+        return chains.PCN(model, 0.05), opt.m, lambda u, m: float(m.mean())
+
+    return dg.chain_summary(chains.run_chains(spark, make, 4, 40, 5).withColumnRenamed("chain", "key"), 10)
+
+
+@query(None)
+def heat_trajectory(spark, d):
+    """A heat equation marched on arrays and returned as a trajectory frame."""
+    from fieldstone.functions import jet
+    from fieldstone.plans import spaces, time_dependent
+
+    v = spaces.Space(spaces.Square(8))
+    start = v.project(lambda x, y: np.sin(np.pi * x) * np.sin(np.pi * y))
+    times = np.linspace(0, 0.05, 6)
+    step = lambda u, old, m, p, x, t, dt: (u.val - old.val) * p.val + dt * jet.inner(u.grad, p.grad)
+    pr = time_dependent.TimeProblem(v, v, step, times, v.on_boundary(1, 2, 3, 4), start)
+    return time_dependent.trajectory_frame(spark, times, pr.forward(np.zeros(v.dim)))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
