@@ -681,6 +681,57 @@ def layered_profile(spark, d):
     return _depths(spark).select("id", F.round(applied.layered(F.col("x"), [(0.2, [13.0, -8.0]), (float("inf"), [9.0, 1.0, -2.0])]), 10).alias("rho"))
 
 
+@query("SELECT event_id, dense_rank() OVER (ORDER BY user_id) - 1 AS inverse FROM events")
+def unique_inverse(spark, d):
+    return applied.unique_inverse(_t(spark, d, "events").select("event_id", "user_id"), "user_id").select("event_id", "inverse")
+
+
+@query("SELECT user_id, row_number() OVER (ORDER BY min(event_id), user_id) - 1 AS number FROM events GROUP BY user_id")
+def first_touch(spark, d):
+    return applied.first_touch(_t(spark, d, "events"), "user_id", "event_id")
+
+
+def _lattice(spark):
+    return spark.range(400).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"), (F.col("id") % 13).cast("double").alias("v"))
+
+
+_LATTICE = "SELECT id % 20 AS x, id // 20 AS y, (id % 13)::DOUBLE AS v FROM range(400) r(id)"
+_BLUR = f"SELECT f.x, f.y, sum(g.v * w.w) AS v FROM ({_LATTICE}) f JOIN ({_LATTICE}) g ON abs(f.x - g.x) <= 1 AND abs(f.y - g.y) <= 1 JOIN (VALUES (0, 0.25e0), (1, 0.125e0), (2, 0.0625e0)) w(k, w) ON w.k = abs(f.x - g.x) + abs(f.y - g.y) GROUP BY 1, 2"
+BLUR = {(a, b): 0.25 / 2 ** (abs(a) + abs(b)) for a in (-1, 0, 1) for b in (-1, 0, 1)}
+
+
+@query(_BLUR)
+def stencil_apply(spark, d):
+    return applied.stencil(_lattice(spark), BLUR)
+
+
+@query(f"SELECT x, y, f.v - b.v AS v FROM ({_LATTICE}) f JOIN ({_BLUR}) b USING (x, y)")
+def highpass(spark, d):
+    return applied.highpass(_lattice(spark), BLUR)
+
+
+@query("SELECT 'source' AS kind, (r % 4) * 0.5e0 AS x, (r // 4) * 0.5e0 AS y, 0.1e0 AS z FROM range(12) a(r) UNION ALL SELECT 'receiver', (r % 7) * 0.25e0, (r // 7) * 0.25e0, 0.1e0 FROM range(35) a(r)")
+def survey_grid(spark, d):
+    return applied.survey(4, 3, 0.5, 0.25, 0.1, spark)
+
+
+@query("SELECT r / 7e0 AS t, round(power(r / 7e0, 3) - r / 7e0, 9) + 0.0 AS v FROM range(50) a(r) WHERE r / 7e0 >= 0.5 AND r / 7e0 < 5")
+def resample_series(spark, d):
+    series = spark.range(12).select(F.col("id").alias("n"), (F.pow(F.col("id") * 0.5, F.lit(3.0)) - F.col("id") * 0.5).alias("v"))
+    times = spark.range(50).select((F.col("id") / 7.0).alias("t")).filter("t >= 0.5 AND t < 5")
+    return applied.resample(series, times, 0.5).select("t", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@query(f"SELECT i, round(avg(v), 9) AS mean, round(var_samp(v), 6) AS var FROM ({_TD}) GROUP BY i")
+def field_statistics(spark, d):
+    return _r(_r(applied.field_statistics(_trajectory(spark, d)), 9, "mean"), 6, "var")
+
+
+@query(f"SELECT e, CASE WHEN e % 3 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM range({2 * N * N}) r(e)")
+def attribute_indicator(spark, d):
+    return mesh.attribute_indicator(mesh.triangles(spark, N).withColumn("attr", F.col("e") % 3), [1])
+
+
 # Iterations of fixed length, and the iterative plans.
 
 _AM = (

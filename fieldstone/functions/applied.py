@@ -86,3 +86,47 @@ def bilinear(points: DataFrame, table: DataFrame) -> DataFrame:
 def field_statistics(chain: DataFrame) -> DataFrame:
     """(i, mean, var) of a field (k, i, v) along a chain."""
     return chain.groupBy("i").agg(F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
+
+
+def unique_inverse(df: DataFrame, key: str) -> DataFrame:
+    """df with `inverse`, the rank of its key among the distinct keys: ranked once per distinct key and joined back."""
+    from pyspark.sql import Window
+
+    ranks = df.select(key).distinct().withColumn("inverse", F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
+    return df.join(ranks, key)
+
+
+def first_touch(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, number): distinct keys numbered by their first occurrence in `order`."""
+    from pyspark.sql import Window
+
+    first = df.groupBy(key).agg(F.min(order).alias("at"))
+    return first.select(key, (F.row_number().over(Window.orderBy("at", key)).cast("bigint") - 1).alias("number"))
+
+
+def stencil(field: DataFrame, weights: dict[tuple[int, int], float]) -> DataFrame:
+    """(x, y, v): a stencil on a lattice field; points beyond the lattice count as zero. One exploded copy per weight."""
+    taps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(w)).alias("w")) for (a, b), w in weights.items()])
+    moved = field.select("x", "y", "v", F.explode(taps).alias("t")).select((F.col("x") - F.col("t.a")).alias("x"), (F.col("y") - F.col("t.b")).alias("y"), (F.col("v") * F.col("t.w")).alias("v"))
+    return moved.groupBy("x", "y").agg(F.sum("v").alias("v")).join(field.select("x", "y"), ["x", "y"], "left_semi")
+
+
+def highpass(field: DataFrame, weights: dict[tuple[int, int], float]) -> DataFrame:
+    """The field less its blur by the stencil."""
+    blur = stencil(field, weights).withColumnRenamed("v", "blur")
+    return field.join(blur, ["x", "y"]).select("x", "y", (F.col("v") - F.col("blur")).alias("v"))
+
+
+def survey(nx: int, ny: int, ds: float, dr: float, depth: float, spark) -> DataFrame:
+    """(kind, x, y, z): source points ds apart and receivers dr apart over a grid."""
+    side = lambda kind, n, m, d: spark.range(n * m).select(F.lit(kind).alias("kind"), ((F.col("id") % n) * d).alias("x"), (F.floor(F.col("id") / n) * d).alias("y"), F.lit(float(depth)).alias("z"))
+    return side("source", nx, ny, ds).unionByName(side("receiver", int((nx - 1) * ds / dr) + 1, int((ny - 1) * ds / dr) + 1, dr))
+
+
+def resample(series: DataFrame, times: DataFrame, dt: float) -> DataFrame:
+    """(t, v): cubic Lagrange interpolation of (n, v) sampled at n dt, at times (t) with two samples on either side."""
+    at = F.floor(F.col("t") / dt)
+    near = times.select("t", (F.col("t") / dt - at).alias("s"), F.explode(F.array(*[F.struct((at + k).alias("n"), F.lit(k).alias("k")) for k in (-1, 0, 1, 2)])).alias("q")).select("t", "s", "q.n", "q.k")
+    s = F.col("s")
+    weight = F.when(F.col("k") == -1, -s * (s - 1) * (s - 2) / 6).when(F.col("k") == 0, (s + 1) * (s - 1) * (s - 2) / 2).when(F.col("k") == 1, -(s + 1) * s * (s - 2) / 2).otherwise((s + 1) * s * (s - 1) / 6)
+    return near.join(series, "n").groupBy("t").agg(F.sum(weight * F.col("v")).alias("v"), F.count(F.lit(1)).alias("c")).filter("c = 4").select("t", "v")
