@@ -26,6 +26,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {}
 N = 16  # cells per side of the generated square
 
 
+def _d(x: float) -> str:
+    """A DOUBLE literal of DuckDB, which reads numbers without an exponent as decimals."""
+    s = repr(float(x))
+    return s if "e" in s else s + "e0"
+
+
 def query(sql: str | None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = (f, sql)
@@ -339,19 +345,19 @@ def elem_dofs(spark, d):
 
 
 @query(
-    f"SELECT p.i, q.i AS j, round(sum(exp(sin(pi() * cx) * sin(pi() * cy)) * (p.gx * q.gx + p.gy * q.gy) * {0.5 / N / N}), 9) + 0.0 AS v "
+    f"SELECT p.i, q.i AS j, round(sum(exp(sin(pi() * cx) * sin(pi() * cy)) * (p.gx * q.gx + p.gy * q.gy) * {_d(0.5 / N / N)}), 9) + 0.0 AS v "
     f"FROM ({_GRAD}) p JOIN ({_GRAD}) q ON p.e = q.e JOIN ({_MID}) m ON m.e = p.e GROUP BY 1, 2"
 )
 def p1_stiffness(spark, d):
     return mx.scatter_add(mesh.stiffness_entries(mesh.triangles(spark, N), _field())).select("i", "j", (F.round("v", 9) + 0.0).alias("v"))
 
 
-@query(f"SELECT p.i, q.i AS j, round(sum(CASE WHEN p.k = q.k THEN {1 / 6 * 0.5 / N / N!r} ELSE {1 / 12 * 0.5 / N / N!r} END), 12) AS v FROM ({_LOC}) p JOIN ({_LOC}) q ON p.e = q.e GROUP BY 1, 2")
+@query(f"SELECT p.i, q.i AS j, round(sum(CASE WHEN p.k = q.k THEN {_d(1 / 6 * 0.5 / N / N)} ELSE {_d(1 / 12 * 0.5 / N / N)} END), 12) AS v FROM ({_LOC}) p JOIN ({_LOC}) q ON p.e = q.e GROUP BY 1, 2")
 def p1_mass(spark, d):
     return _r(mx.scatter_add(mesh.mass_entries(mesh.triangles(spark, N))), 12, "v")
 
 
-@query(f"SELECT i, round(sum(cx * cy * {0.5 / N / N / 3!r}), 12) AS v FROM ({_LOC}) JOIN ({_MID}) USING (e) GROUP BY i")
+@query(f"SELECT i, round(sum(cx * cy * {_d(0.5 / N / N / 3)}), 12) AS v FROM ({_LOC}) JOIN ({_MID}) USING (e) GROUP BY i")
 def p1_load(spark, d):
     mid = lambda c: (F.col(c)[0] + F.col(c)[1] + F.col(c)[2]) / 3
     return _r(mx.scatter_vector(mesh.load_entries(mesh.triangles(spark, N), mid("x") * mid("y"))), 12, "v")
@@ -359,7 +365,7 @@ def p1_load(spark, d):
 
 _BDR = (
     f"SELECT b, (b // {N} + 1)::INT AS attr, CASE b // {N} WHEN 0 THEN b % {N} WHEN 1 THEN (b % {N}) * {_M} + {N} WHEN 2 THEN {N * _M} + b % {N} ELSE (b % {N}) * {_M} END AS v0, "
-    f"CASE b // {N} WHEN 0 THEN b % {N} + 1 WHEN 1 THEN (b % {N} + 1) * {_M} + {N} WHEN 2 THEN {N * _M} + b % {N} + 1 ELSE (b % {N} + 1) * {_M} END AS v1, {1 / N}::DOUBLE AS length FROM range({4 * N}) r(b)"
+    f"CASE b // {N} WHEN 0 THEN b % {N} + 1 WHEN 1 THEN (b % {N} + 1) * {_M} + {N} WHEN 2 THEN {N * _M} + b % {N} + 1 ELSE (b % {N} + 1) * {_M} END AS v1, {_d(1 / N)} AS length FROM range({4 * N}) r(b)"
 )
 
 
@@ -368,7 +374,7 @@ def mesh_boundary(spark, d):
     return mesh.boundary(spark, N)
 
 
-@query(f"WITH x AS (SELECT b, 0 AS a, v0 AS i FROM ({_BDR}) UNION ALL SELECT b, 1, v1 FROM ({_BDR})) SELECT p.i, q.i AS j, round(sum({1 / N} / CASE WHEN p.a = q.a THEN 3e0 ELSE 6e0 END), 12) AS v FROM x p JOIN x q ON p.b = q.b GROUP BY 1, 2")
+@query(f"WITH x AS (SELECT b, 0 AS a, v0 AS i FROM ({_BDR}) UNION ALL SELECT b, 1, v1 FROM ({_BDR})) SELECT p.i, q.i AS j, round(sum({_d(1 / N)} / CASE WHEN p.a = q.a THEN 3e0 ELSE 6e0 END), 12) AS v FROM x p JOIN x q ON p.b = q.b GROUP BY 1, 2")
 def p1_boundary_mass(spark, d):
     return _r(mx.scatter_add(mesh.boundary_mass_entries(mesh.boundary(spark, N))), 12, "v")
 
@@ -484,13 +490,13 @@ def weighted_mean(spark, d):
     return _r(mf.weighted_mean_qoi(o.select("i", (F.col("i") % 10 + 1).cast("double").alias("v")), o.select("i", F.col("o_totalprice").alias("v"))), 4, "q")
 
 
-@query(f"WITH m AS (SELECT p.i, q.i AS j, sum(CASE WHEN p.k = q.k THEN {1 / 6 * 0.5 / N / N!r} ELSE {1 / 12 * 0.5 / N / N!r} END) AS v FROM ({_LOC}) p JOIN ({_LOC}) q ON p.e = q.e GROUP BY 1, 2) SELECT round(0.5 * sum(v * (i % 7) * (j % 7)), 9) AS q FROM m")
+@query(f"WITH m AS (SELECT p.i, q.i AS j, sum(CASE WHEN p.k = q.k THEN {_d(1 / 6 * 0.5 / N / N)} ELSE {_d(1 / 12 * 0.5 / N / N)} END) AS v FROM ({_LOC}) p JOIN ({_LOC}) q ON p.e = q.e GROUP BY 1, 2) SELECT round(0.5 * sum(v * (i % 7) * (j % 7)), 9) AS q FROM m")
 def l2_qoi(spark, d):
     u = mesh.vertices(spark, N).select(F.col("vid").alias("i"), (F.col("vid") % 7).cast("double").alias("v"))
     return _r(mf.quadratic_qoi(mx.spmv(mx.scatter_add(mesh.mass_entries(mesh.triangles(spark, N))), u), u), 9, "q")
 
 
-@query(f"WITH m AS (SELECT i, sum({1 / 3 * 0.5 / N / N!r}) AS w FROM ({_LOC}) GROUP BY 1) SELECT round(sum(w * (i % 7)) / sum(w), 9) AS q FROM m")
+@query(f"WITH m AS (SELECT i, sum({_d(1 / 3 * 0.5 / N / N)}) AS w FROM ({_LOC}) GROUP BY 1) SELECT round(sum(w * (i % 7)) / sum(w), 9) AS q FROM m")
 def mean_state(spark, d):
     u = mesh.vertices(spark, N).select(F.col("vid").alias("i"), (F.col("vid") % 7).cast("double").alias("v"))
     return _r(mf.weighted_mean_qoi(mx.row_sums(mx.scatter_add(mesh.mass_entries(mesh.triangles(spark, N)))), u), 9, "q")
@@ -735,7 +741,7 @@ def attribute_indicator(spark, d):
 # Iterations of fixed length, and the iterative plans.
 
 _AM = (
-    f"SELECT p.i, q.i AS j, sum((p.gx * q.gx + p.gy * q.gy) * {0.5 / N / N} + 30e0 * CASE WHEN p.k = q.k THEN {1 / 6 * 0.5 / N / N!r} ELSE {1 / 12 * 0.5 / N / N!r} END) AS v "
+    f"SELECT p.i, q.i AS j, sum((p.gx * q.gx + p.gy * q.gy) * {_d(0.5 / N / N)} + 30e0 * CASE WHEN p.k = q.k THEN {_d(1 / 6 * 0.5 / N / N)} ELSE {_d(1 / 12 * 0.5 / N / N)} END) AS v "
     f"FROM ({_GRAD}) p JOIN ({_GRAD}) q ON p.e = q.e GROUP BY 1, 2"
 )
 
@@ -768,11 +774,11 @@ def jacobi_fixed(spark, d):
 def _chebyshev_sql(lo: float, hi: float, degree: int) -> str:
     theta, delta = (hi + lo) / 2, (hi - lo) / 2
     sigma, rho = theta / delta, delta / theta
-    out = f"WITH a AS MATERIALIZED ({_AM}), r0 AS (SELECT v AS i, (v % 5 + 1)::DOUBLE AS v FROM range({_M * _M}) r(v)), d0 AS (SELECT i, v * {1 / theta!r}::DOUBLE AS v FROM r0), x0 AS (SELECT * FROM d0)"
+    out = f"WITH a AS MATERIALIZED ({_AM}), r0 AS (SELECT v AS i, (v % 5 + 1)::DOUBLE AS v FROM range({_M * _M}) r(v)), d0 AS (SELECT i, v * {_d(1 / theta)} AS v FROM r0), x0 AS (SELECT * FROM d0)"
     for k in range(degree - 1):
         fresh = 1 / (2 * sigma - rho)
         out += f", r{k + 1} AS MATERIALIZED (SELECT r.i, r.v - s.v AS v FROM r{k} r JOIN (SELECT a.i, sum(a.v * d.v) AS v FROM a JOIN d{k} d ON a.j = d.i GROUP BY a.i) s USING (i))"
-        out += f", d{k + 1} AS MATERIALIZED (SELECT i, d.v * {fresh * rho!r}::DOUBLE + r.v * {2 * fresh / delta!r}::DOUBLE AS v FROM d{k} d JOIN r{k + 1} r USING (i))"
+        out += f", d{k + 1} AS MATERIALIZED (SELECT i, d.v * {_d(fresh * rho)} + r.v * {_d(2 * fresh / delta)} AS v FROM d{k} d JOIN r{k + 1} r USING (i))"
         out += f", x{k + 1} AS MATERIALIZED (SELECT i, x.v + d.v AS v FROM x{k} x JOIN d{k + 1} d USING (i))"
         rho = fresh
     return out + f" SELECT i, round(v, 6) AS v FROM x{degree - 1}"
