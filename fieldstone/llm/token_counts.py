@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fieldstone.llm.arrow import as_bytes, map_batches
-from fieldstone.llm.word_encoder import WordEncoder
+from fieldstone.llm.word_encoder import encoder_of
 
 #: Fixed value: the white space that a splice follows.
 SPACE = frozenset(" \t\n\x0b\x0c\r")
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int =
     """One row per document: id, n_bytes, n_tokens, over_limit, widened."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
 
         def encode(text: str) -> Encoded:
             e = encoder.tokenizer.encode(text, add_special_tokens=False)

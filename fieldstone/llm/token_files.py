@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstone.llm.arrow import as_bytes, map_batches
-from fieldstone.llm.word_encoder import WordEncoder
+from fieldstone.llm.word_encoder import encoder_of
 from fieldstone.shared import written
 
 #: Writer settings of the format.
@@ -42,7 +42,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFram
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [x + tail for x in encoder.encode([t or b"" for t in as_bytes(batch.column(3))])]

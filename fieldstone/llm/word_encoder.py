@@ -15,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from functools import cache as kept
 from itertools import chain
 
 #: Texts that are cut here, and how the vocabulary cuts their words in lower case.
@@ -45,14 +46,18 @@ class WordEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, strings: set[str]) -> None:
-        """Put the ids of all strings into the newer half of the cache."""
-        missing = strings.difference(self.new)
+        """Put the library's ids of all strings into the newer half of the cache."""
+        rest = list(strings.difference(self.new))
+        self.new.update(zip(rest, self._library(rest), strict=True))
+
+    def _room(self, needed: set[str]) -> set[str]:
+        """The needed strings that are not in the newer half, after taking over what the older half has."""
+        missing = needed.difference(self.new)
         if len(self.new) + len(missing) > self.size:
-            self.old, self.new, missing = self.new, {}, strings
+            self.old, self.new, missing = self.new, {}, needed
         kept = missing.intersection(self.old)
-        self.new.update((p, self.old[p]) for p in kept)
-        rest = list(missing.difference(kept))
-        self.new.update(zip(rest, self._library(rest), strict=True))
+        self.new.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        return missing.difference(kept)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
@@ -67,13 +72,18 @@ class WordEncoder:
             else:
                 split.append(words := [w.decode("utf-8", "replace") for w in t.split()])
                 other.update(words)
+        missing = self._room(plain | other if other else plain)
         several = {}  # words of more than one pre-token
-        for w in [w for w in plain if not w.isalpha()]:
-            several[w] = (w[:-1], w[-1]) if w[:-1].isalpha() and w[-1] in MARKS else PIECE.findall(w)
-        single = plain.difference(several).union(other)
-        self._learn(single.union(chain.from_iterable(several.values())))
+        for w in [w for w in missing if not w.isalpha()]:
+            if w in plain:
+                several[w] = (w[:-1], w[-1]) if w[:-1].isalpha() and w[-1] in MARKS else PIECE.findall(w)
+        self._learn(missing.difference(several).union(chain.from_iterable(several.values())))
         get = self.new.__getitem__
-        ids = dict(zip(single, map(get, single), strict=True))
-        ids.update((w, b"".join(map(get, p))) for w, p in several.items())
-        get = ids.__getitem__
+        self.new.update([(w, b"".join(map(get, p))) for w, p in several.items()])
         return [self._library([t.decode("utf-8", "replace")])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+
+
+@kept
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a Python worker: later tasks of the same worker find its cache filled."""
+    return WordEncoder(path)
