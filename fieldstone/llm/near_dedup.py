@@ -6,15 +6,18 @@ whose prefixes agree are neighbours in that order.
 
 Depth adapts to the region: beginning at MIN_DEPTH, texts that share a prefix are a node; a node of at most `crowd`
 texts gives all its pairs, and a larger one gives the pairs of each text with the node's first, and goes one level
-deeper. A node that is crowded at full depth is dealt into parts by hash. So the number of candidates stays in
+deeper. A node that is crowded at full depth is dealt into parts by hash. So the number of these candidates stays in
 proportion to the number of texts.
 
-Candidates are used in two steps. First every text keeps one of them, the smaller id with the highest estimated
+Candidates are used in three steps. First every text keeps one of them, the smaller id with the highest estimated
 similarity; these links are confirmed on full sets, and give components. Then all candidates between different
 components are estimated and confirmed. The estimate drops pairs that are over five standard errors under the
-threshold. A pair of similarity 0.8 agrees on four minhashes of a tree with chance 0.41, so that TREES trees miss it
-with chance below 0.0003; crowded regions ask for deeper agreement, but there the pairs with first texts and the
-components of other trees make up for it. Components, not pairs, are the result.
+threshold. Last, the nodes that are crowded at MIN_DEPTH and still have more than one component are compared whole, by
+their full sets: all pairs of texts of different components, in pairs of blocks that are spread over tasks. So every
+pair that shares a node at MIN_DEPTH is compared, unless other links join it or the estimate drops it in a small node;
+a pair of similarity 0.8 agrees on four minhashes of a tree with chance 0.41, so that TREES trees miss it with chance
+below 0.0003. The last step grows with the square of a node whose texts are not similar to each other; a node of one
+component costs nothing there. Components, not pairs, are the result.
 
 Defined cases: an empty or null text has an empty set and is linked with nothing; so is a row with a null id, whose
 component is null and which is kept; rows that repeat an id are in the component of their own text; an empty table
@@ -36,6 +39,8 @@ from fieldstone.llm.shingles import mix, shingle_sets, similar
 from fieldstone.shared import written
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
+#: Texts and shingles of a block of a crowded node, about; a task holds two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Ids of at most this many texts are broadcast (8 bytes each); more are joined by sort-merge.
 BROADCAST_IDS = 1_000_000
 
@@ -76,9 +81,10 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("id", F.explode(paths).alias("p")).select("p.tree", "p.path", "id")
 
 
-def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(near, all): pairs (a, b) with a < b, each once; near has a bounded number for each text."""
-    near, every = [], []
+def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(near, all, crowded): pairs (a, b) with a < b, each once; near has a bounded number for each text. crowded has the
+    tree, node and id of the texts in nodes that are crowded at MIN_DEPTH."""
+    near, every, crowds = [], [], None
     for depth in range(MIN_DEPTH, DEPTH + 1):
         keyed = rows.withColumn("node", F.expr(f"substring(path, 1, {2 * depth})"))
         nodes = keyed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
@@ -91,6 +97,8 @@ def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
             small = small.unionByName(rows.select("tree", F.col("path").alias("node"), part.alias("part"), "path", "id"))
         near.append(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
         rows = rows.drop("n", "first")
+        if crowds is None:
+            crowds = rows.select("tree", F.expr(f"substring(path, 1, {2 * depth})").alias("node"), "id")
         groups = written(small.groupBy("tree", "node", "part").agg(F.array_sort(F.collect_list(F.struct("path", "id"))).alias("m")), "nodes")
         steps = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.struct(F.element_at("m", i)["id"].alias("x"), F.element_at("m", i + 1)["id"].alias("y")))
         pairs = F.expr("flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m) - i), o -> struct(m[i - 1].id AS x, o.id AS y))))")
@@ -101,7 +109,7 @@ def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
         if depth < DEPTH and rows.isEmpty():
             break
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    return written(union(near).distinct(), "near"), written(union(every).distinct(), "candidates")
+    return written(union(near).distinct(), "near"), written(union(every).distinct(), "candidates"), crowds
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -124,10 +132,14 @@ def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), id_col, how)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of the documents with distinct ids. docs: id, text."""
+    return written(of_ids(docs, written(ids, "pair-ids"), "id", "left_semi"), "pair-texts", compression="zstd")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets are similar. docs: id, text."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    texts = written(of_ids(docs, ids, "id", "left_semi"), "pair-texts", compression="zstd")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     side = lambda name, t: texts.select(F.col("id").alias(name), F.col("text").alias(t))
     both = pairs.select("a", "b").join(side("b", "u"), "b").join(side("a", "t"), "a").select("a", "b", "t", "u")
 
@@ -141,13 +153,108 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by dense products over `step` shingles at a time."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    edges = np.arange(0, len(shared) + step, step)
+    sides = []
+    for sets in (left, right):
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        col = np.searchsorted(shared, values)
+        hit = np.flatnonzero(shared[np.minimum(col, len(shared) - 1)] == values) if len(shared) else np.empty(0, np.int64)
+        hit = hit[np.argsort(col[hit], kind="stable")]
+        sides.append((row[hit], col[hit], np.searchsorted(col[hit], edges)))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for k, start in enumerate(edges[:-1]):
+        dense = []
+        for sets, (row, col, cut) in zip((left, right), sides, strict=True):
+            m = np.zeros((len(sets), step), np.float32)
+            m[row[cut[k] : cut[k + 1]], col[cut[k] : cut[k + 1]] - start] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def spanning(links: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    new = np.ones(len(links), bool)
+    for root in range(len(links)):
+        ahead = [root] if new[root] else []
+        new[root] = False
+        while ahead:
+            i = ahead.pop()
+            found = np.flatnonzero(links[i] & new)
+            new[found] = False
+            ahead.extend(found.tolist())
+            yield from ((i, j) for j in found.tolist())
+
+
+def block_links(parts: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) that join all similar texts of different components in two blocks, or in one. parts: side, id, c, shingles."""
+    ids, c = parts["id"].to_numpy(), parts["c"].to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in parts["shingles"].to_pylist()]
+    side, n = parts["side"].to_numpy(), np.array([len(s) for s in sets])
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    y = y if len(y) else x
+    # The texts of either side that meet one of another component, of a size that allows a link.
+    meets = (c[x][:, None] != c[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
+    rows, cols = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))
+    links = np.zeros((len(ids), len(ids)), bool)
+    if len(rows):
+        x, y, meets = x[rows], y[cols], meets[np.ix_(rows, cols)]
+        common = common_counts([sets[i] for i in x], [sets[i] for i in y])
+        yes = meets & (100 * common >= percent * (n[x][:, None] + n[y] - common))
+        links[np.ix_(x, y)] |= yes
+        links[np.ix_(y, x)] |= yes.T
+    found = list(spanning(links))
+    return pa.table({"a": pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), "b": pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())})
+
+
+def within_crowds(crowds: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between the components `found` in crowded nodes, by full sets; None if each node is in one component.
+
+    The texts of a node are dealt by hash into blocks: a component of over half a block has blocks of its own, smaller
+    ones share blocks. Each pair of blocks is a group, but for two of the same component.
+    """
+    label = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    member = crowds.join(label, "id", "left").select("tree", "node", "id", F.coalesce("c", "id").alias("c"))
+    mixed = written(member.groupBy("tree", "node").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("tree", "node"), "mixed")
+    if mixed.isEmpty():
+        return None
+    member = member.join(mixed, ["tree", "node"])
+    texts = texts_of(member.select("id").distinct(), docs)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 2 << 20):
+                sets = shingle_sets([t or b"" for t in as_bytes(batch.column(1))], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "shingles"])
+
+    sets = written(texts.select("id", "text").mapInArrow(run, "id long, n long, shingles binary"), "crowded-sets", compression="zstd")
+    member = written(member.join(sets.select("id", "n"), "id"), "crowded-members")
+    blocks = F.ceil(F.greatest(F.sum("k") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    size = written(member.groupBy("tree", "node", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")), "crowded-components")
+    size = size.withColumn("own", F.when((F.col("k") > BLOCK // 2) | (F.col("n") > BLOCK_SHINGLES // 2), F.col("c")))
+    dealt = size.groupBy("tree", "node", "own").agg(blocks.alias("parts"))
+    dealt = size.select("tree", "node", "c", "own").join(dealt.withColumnRenamed("own", "o"), ["tree", "node"]).filter("own <=> o").drop("o")
+    part = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("c")).otherwise(F.col("id"))), F.col("parts")).cast("int")
+    member = written(member.join(dealt, ["tree", "node", "c"]).select("tree", "node", F.coalesce("own", F.lit(-(1 << 63))).alias("own"), F.col("own").isNull().alias("open"), part.alias("part"), "id", "c"), "crowded-blocks")
+    block = member.select("tree", "node", F.struct("open", "own", "part").alias("block")).distinct()
+    pairs = block.withColumnRenamed("block", "x").join(block.withColumnRenamed("block", "y"), ["tree", "node"])
+    pairs = pairs.filter("x <= y AND (x.open OR y.open OR x.own <> y.own)")
+    ends = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
+    pairs = pairs.select("tree", "node", F.xxhash64("tree", "node", "x", "y").alias("group"), F.posexplode(ends).alias("side", "block")).select("tree", "node", "group", "side", "block.*")
+    groups = pairs.join(member, ["tree", "node", "open", "own", "part"]).join(sets.select("id", "shingles"), "id").select("tree", "node", "group", "side", "id", "c", "shingles")
+    return written(groups.groupBy("tree", "node", "group").applyInArrow(lambda t: block_links(t, percent), "a long, b long").distinct(), "crowded-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, crowd: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
     sets = written(signatures(docs, width, id_col, text_col), "signatures")
     named = sets.filter("digest IS NOT NULL AND id IS NOT NULL")
     reps = written(named.groupBy("digest").agg(F.min(F.struct("id", "signature")).alias("r")).select("digest", "r.id", "r.signature"), "representatives")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    near, every = candidates(forest(reps.select("id", "signature")), crowd)
+    near, every, crowds = candidates(forest(reps.select("id", "signature")), crowd)
     least = percent / 100 - 0.2
     best = estimated(near, reps, least).groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select("m.a", "b")
     best = written(best, "best")
@@ -156,7 +263,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, crowd: i
     label = lambda name, c: first.select(F.col("node").alias(name), F.col("component").alias(c))
     across = every.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").filter("coalesce(x, a) <> coalesce(y, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
     more = confirmed(written(estimated(across, reps, least).select("a", "b"), "across"), texts, width, percent)
-    found = components(links.unionByName(more))
+    found = written(components(links.unionByName(more)), "components")
+    exact = within_crowds(crowds, found, texts, width, percent)
+    if exact is not None:
+        found = components(links.unionByName(more).unionByName(exact))
     classes = reps.select("digest", F.col("id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
     out = sets.drop("signature").join(written(classes, "classes"), "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -86,3 +86,25 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 5 for i in range(5, 30)) and got[200] == 199
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def star(copies, words=400, edits=6):
+    """A text and copies of it with edits of their own: similar to the text and, but for a few, not to each other."""
+    r = random.Random(copies)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    rows = [(copies // 2, " ".join(base))]
+    for k in range(copies):
+        w = list(base)
+        for i in r.sample(range(4, words - 4, 5), edits):
+            w[i] = f"e{k}x{i}"
+        rows.append((k if k < copies // 2 else k + 1, " ".join(w)))
+    return rows
+
+
+def test_crowded_nodes_lose_no_links(spark):
+    rows = star(1000)
+    sets = [brute_set(t, 5) for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets)
+    assert 100 * len(sets[1] & sets[2]) < 80 * len(sets[1] | sets[2])
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.component_id == 0 for r in got) == len(rows)
