@@ -96,6 +96,7 @@ def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataF
             part = F.pmod(F.xxhash64("tree", "id"), F.ceil(F.col("n") / crowd)).cast("int")
             small = small.unionByName(rows.select("tree", F.col("path").alias("node"), part.alias("part"), "path", "id"))
         near.append(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+        every.append(near[-1])
         rows = rows.drop("n", "first")
         if crowds is None:
             crowds = rows.select("tree", F.expr(f"substring(path, 1, {2 * depth})").alias("node"), "id")

@@ -108,3 +108,13 @@ def test_crowded_nodes_lose_no_links(spark):
     assert 100 * len(sets[1] & sets[2]) < 80 * len(sets[1] | sets[2])
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sum(r.component_id == 0 for r in got) == len(rows)
+
+
+def test_pairs_with_first_texts_are_candidates(spark):
+    sets = nd.signatures(spark.createDataFrame(star(60), "doc_id long, text string"), 5)
+    rows = nd.forest(sets.select("id", "signature"))
+    _, every, crowds = nd.candidates(rows, 24)
+    nodes = {}
+    for r in crowds.collect():
+        nodes.setdefault((r.tree, bytes(r.node)), []).append(r.id)
+    assert nodes and {(min(ids), i) for ids in nodes.values() for i in ids if i > min(ids)} <= {(r.a, r.b) for r in every.collect()}
