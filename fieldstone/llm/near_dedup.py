@@ -20,8 +20,8 @@ below 0.0003. The last step grows with the square of a node whose texts are not
 component costs nothing there. Components, not pairs, are the result.
 
 Defined cases: an empty or null text has an empty set and is linked with nothing; so is a row with a null id, whose
-component is null and which is kept; rows that repeat an id are in the component of their own text; an empty table
-gives an empty result; other columns are ignored or carried through.
+component is null and which is kept; rows that repeat an id are in the component of their own text, as links join sets
+and not ids; an empty table gives an empty result; other columns are ignored or carried through.
 """
 
 from __future__ import annotations
@@ -58,8 +58,13 @@ def signature(shingles: np.ndarray) -> bytes:
     return mix(least).astype(">u2").tobytes()
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and the text's hash, which tells apart rows that repeat an id."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+
+
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, digest of the set (null if empty), signature."""
+    """id, hash of the text, n_shingles, digest of the set (null if empty), signature."""
 
     def make():
         import xxhash
@@ -68,11 +73,11 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
             sets = shingle_sets([t or b"" for t in as_bytes(batch.column(1))], width)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())]
-            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_shingles", "digest", "signature"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "hash", "n_shingles", "digest", "signature"])
 
         return run
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), make, "id long, n_shingles long, digest binary, signature binary", "text", 4 << 20)
+    return map_batches(keyed(docs, id_col, text_col), make, "id long, hash long, n_shingles long, digest binary, signature binary", "text", 4 << 20)
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -127,20 +132,21 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, estimate double")
 
 
-def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """Semi- or anti-join of documents with distinct ids; broadcasts the ids only if they are few enough."""
-    ids = ids.select(F.col(ids.columns[0]).alias(id_col))
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), id_col, how)
+def of_ids(docs: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join of documents with distinct ids; broadcasts the ids only if they are few enough."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), on, how)
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, text of the documents with distinct ids. docs: id, text."""
-    return written(of_ids(docs, written(ids, "pair-ids"), "id", "left_semi"), "pair-texts", compression="zstd")
+def texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """node (as `id`), text of distinct nodes. nodes: id; reps: node, id, hash; docs: id, text, hash."""
+    rows = reps.select("node", "id", "hash").join(nodes.select(F.col("id").alias("node")), "node")
+    found = of_ids(docs, written(rows, "pair-ids"), ["id", "hash"], "inner").select(F.col("node").alias("id"), "text")
+    return written(found, "pair-texts", compression="zstd")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives whose full sets are similar. docs: id, text."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose full sets are similar. reps: node, id, hash; docs: id, text, hash."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps, docs)
     side = lambda name, t: texts.select(F.col("id").alias(name), F.col("text").alias(t))
     both = pairs.select("a", "b").join(side("b", "u"), "b").join(side("a", "t"), "a").select("a", "b", "t", "u")
 
@@ -211,7 +217,7 @@ def block_links(parts: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), "b": pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())})
 
 
-def within_crowds(crowds: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+def within_crowds(crowds: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links between the components `found` in crowded nodes, by full sets; None if each node is in one component.
 
     The texts of a node are dealt by hash into blocks: a component of over half a block has blocks of its own, smaller
@@ -223,7 +229,7 @@ def within_crowds(crowds: DataFrame, found: DataFrame, docs: DataFrame, width: i
     if mixed.isEmpty():
         return None
     member = member.join(mixed, ["tree", "node"])
-    texts = texts_of(member.select("id").distinct(), docs)
+    texts = texts_of(member.select("id").distinct(), reps, docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -231,7 +237,7 @@ def within_crowds(crowds: DataFrame, found: DataFrame, docs: DataFrame, width: i
                 sets = shingle_sets([t or b"" for t in as_bytes(batch.column(1))], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "shingles"])
 
-    sets = written(texts.select("id", "text").mapInArrow(run, "id long, n long, shingles binary"), "crowded-sets", compression="zstd")
+    sets = written(texts.mapInArrow(run, "id long, n long, shingles binary").dropDuplicates(["id"]), "crowded-sets", compression="zstd")
     member = written(member.join(sets.select("id", "n"), "id"), "crowded-members")
     blocks = F.ceil(F.greatest(F.sum("k") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
     size = written(member.groupBy("tree", "node", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")), "crowded-components")
@@ -249,31 +255,42 @@ def within_crowds(crowds: DataFrame, found: DataFrame, docs: DataFrame, width: i
     return written(groups.groupBy("tree", "node", "group").applyInArrow(lambda t: block_links(t, percent), "a long, b long").distinct(), "crowded-links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, crowd: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
+def labelled(docs: DataFrame, width: int = 5, percent: int = 80, crowd: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, hash of the text, n_shingles, component_id (smallest id reachable over links), kept."""
     sets = written(signatures(docs, width, id_col, text_col), "signatures")
     named = sets.filter("digest IS NOT NULL AND id IS NOT NULL")
-    reps = written(named.groupBy("digest").agg(F.min(F.struct("id", "signature")).alias("r")).select("digest", "r.id", "r.signature"), "representatives")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    near, every, crowds = candidates(forest(reps.select("id", "signature")), crowd)
+    # A class of equal sets is a node of its own number, as rows with different texts may repeat an id.
+    reps = named.groupBy("digest").agg(F.min(F.struct("id", "hash", "signature")).alias("r")).select("digest", "r.*")
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    signed = reps.select(F.col("node").alias("id"), "signature")
+    texts = keyed(docs, id_col, text_col)
+    near, every, crowds = candidates(forest(signed), crowd)
     least = percent / 100 - 0.2
-    best = estimated(near, reps, least).groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select("m.a", "b")
+    best = estimated(near, signed, least).groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select("m.a", "b")
     best = written(best, "best")
-    links = confirmed(best, texts, width, percent)
+    links = confirmed(best, reps, texts, width, percent)
     first = components(links)
     label = lambda name, c: first.select(F.col("node").alias(name), F.col("component").alias(c))
     across = every.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").filter("coalesce(x, a) <> coalesce(y, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = confirmed(written(estimated(across, reps, least).select("a", "b"), "across"), texts, width, percent)
+    more = confirmed(written(estimated(across, signed, least).select("a", "b"), "across"), reps, texts, width, percent)
     found = written(components(links.unionByName(more)), "components")
-    exact = within_crowds(crowds, found, texts, width, percent)
+    exact = within_crowds(crowds, found, reps, texts, width, percent)
     if exact is not None:
         found = components(links.unionByName(more).unionByName(exact))
-    classes = reps.select("digest", F.col("id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
-    out = sets.drop("signature").join(written(classes, "classes"), "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    classes = written(reps.select("digest", "node", "id").join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component")), "classes")
+    smallest = classes.groupBy("component").agg(F.min("id").alias("c"))
+    classes = classes.select("digest", "component").join(smallest, "component").select("digest", "c")
+    out = sets.drop("signature").join(written(classes, "named-classes"), "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
+    return out.select(F.col("id").alias(id_col), "hash", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept. Settings as of labelled()."""
+    return labelled(docs, **settings).drop("hash")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents that near_duplicates() keeps, with their own columns."""
-    gone = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).filter("NOT kept").select(id_col).distinct(), "near-dropped")
-    return of_ids(docs, gone, id_col, "left_anti").select(*docs.columns)
+    gone = labelled(docs, id_col=id_col, text_col=text_col, **settings).filter("NOT kept").select(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).distinct()
+    rows = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_hash": F.xxhash64(text_col)})
+    return of_ids(rows, written(gone, "near-dropped"), ["_id", "_hash"], "left_anti").select(*docs.columns)

@@ -118,3 +118,12 @@ def test_pairs_with_first_texts_are_candidates(spark):
     for r in crowds.collect():
         nodes.setdefault((r.tree, bytes(r.node)), []).append(r.id)
     assert nodes and {(min(ids), i) for ids in nodes.values() for i in ids if i > min(ids)} <= {(r.a, r.b) for r in every.collect()}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    word = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(3, word("a")), (9, word("a") + " end"), (9, word("b")), (12, word("b") + " end"), (12, word("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute(rows, 5)
+    assert sorted(map(tuple, nd.near_duplicates(docs).collect()), key=str) == want
+    assert sorted(tuple(r) for r in nd.keep_first(docs).collect()) == sorted([rows[0], rows[2], rows[4]])
