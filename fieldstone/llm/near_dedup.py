@@ -6,8 +6,8 @@ whose prefixes agree are neighbours in that order.
 
 Depth adapts to the region: beginning at MIN_DEPTH, texts that share a prefix are a node; a node of at most `crowd`
 texts gives all its pairs, and a larger one gives the pairs of each text with the node's first, and goes one level
-deeper. A node that is crowded at full depth is dealt into parts by hash. So the number of these candidates stays in
-proportion to the number of texts.
+deeper, where small nodes give the pairs of neighbours. A node that is crowded at full depth is dealt into parts by
+hash. So the number of these candidates stays in proportion to the number of texts.
 
 Candidates are used in three steps. First every text keeps one of them, the smaller id with the highest estimated
 similarity; these links are confirmed on full sets, and give components. Then all candidates between different
@@ -111,7 +111,8 @@ def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataF
         groups = groups.filter("size(m) > 1")
         ordered = lambda df: df.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
         near.append(ordered(groups.select(F.explode(steps).alias("p"))))
-        every.append(ordered(groups.select(F.explode(pairs).alias("p"))))
+        if depth == MIN_DEPTH:  # deeper nodes are parts of crowded ones, which within_crowds() compares whole
+            every.append(ordered(groups.select(F.explode(pairs).alias("p"))))
         if depth < DEPTH and rows.isEmpty():
             break
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
