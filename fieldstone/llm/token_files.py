@@ -39,17 +39,22 @@ FORMAT = {
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
     """docs (id, part, seq, text) -> id, part, seq, n_tokens, tokens."""
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x + tail for x in encoder.encode([t or b"" for t in as_bytes(batch.column(3))])]
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts), tokens], ["id", "part", "seq", "n_tokens", "tokens"])
+            found = encoder.encode_all([t or b"" for t in as_bytes(batch.column(3))])
+            offsets, ids = found.text_ids, found.ids
+            if end_id is not None:
+                ends = offsets[1:] + np.arange(len(offsets) - 1)
+                offsets = np.concatenate([[0], ends + 1])
+                with_ends = np.full(offsets[-1], end_id, "<u4")
+                inner = np.ones(offsets[-1], bool)
+                inner[ends] = False
+                with_ends[inner] = ids
+                ids = with_ends
+            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets)), tokens], ["id", "part", "seq", "n_tokens", "tokens"])
 
         return run
 
