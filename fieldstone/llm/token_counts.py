@@ -1,12 +1,12 @@
-"""Token counts, with overlap resynchronisation for huge documents.
+"""Token counts by overlap resynchronisation.
 
-A text of at most `huge` characters is encoded as a whole. A longer one is encoded in chunks that overlap, each with
-the offsets of its tokens. Two neighbouring chunks are spliced at a position in their overlap where both have a token
-start, that follows ASCII white space, and from which both give the same ids up to the last such position. No token of
-these vocabularies spans white space, so all tokens before such a position are whole in the first chunk and all from
-it on are whole in the second: the splice is exact. If an overlap has no such position, the first chunk is encoded
-again with an overlap twice as wide, and in the end takes in the whole of its neighbour, so a text without white space
-is encoded as one.
+Every text is cut into chunks of `chunk` bytes that overlap by `overlap` bytes; a text that one chunk covers has that
+chunk alone. All chunks of a batch are encoded together, each token with the offset of the piece that it comes from.
+Two neighbouring chunks are spliced at a position in their overlap where both have a token start, that follows ASCII
+white space, and from which both give the same ids up to the last such position. No token of these vocabularies spans
+white space, so all tokens before such a position are whole in the first chunk and all from it on are whole in the
+second: the splice is exact. If an overlap has no such position, the first chunk is encoded again with an overlap
+twice as wide, and in the end takes in the whole of its neighbour, so a text without white space is encoded as one.
 
 Defined cases: a null text counts as empty and has no tokens; a null id is carried through; rows that repeat are
 counted alike; an empty table gives an empty result; other columns are ignored.
@@ -14,88 +14,123 @@ counted alike; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fieldstone.llm.arrow import as_bytes, map_batches
-from fieldstone.llm.word_encoder import encoder_of
+from fieldstone.llm.word_encoder import WordEncoder, encoder_of
 
 #: Fixed value: the white space that a splice follows.
-SPACE = frozenset(" \t\n\x0b\x0c\r")
+SPACE = frozenset(" \t\n\x0b\x0c\r") | frozenset(b" \t\n\x0b\x0c\r")
 
-Encoded = tuple[np.ndarray, np.ndarray]  # ids, token starts
+Tokens = tuple[np.ndarray, np.ndarray]  # ids, and where in the text the token, or the piece that has it, starts
+Span = tuple[int, int]
 
 
-def stable_start(text: str, first: Encoded, second: Encoded, low: int, high: int) -> int | None:
+def stable_start(text: str | bytes, first: Tokens, second: Tokens, low: int, high: int) -> int | None:
     """The first position from low and below high where the encodings of two chunks can be spliced."""
-    common = np.intersect1d(first[1][(first[1] >= low) & (first[1] < high)], second[1][(second[1] >= low) & (second[1] < high)])
-    common = [p for p in common.tolist() if p and text[p - 1] in SPACE]
+    inside = lambda starts: starts[np.searchsorted(starts, low) : np.searchsorted(starts, high)]
+    common = [p for p in np.intersect1d(inside(first[1]), inside(second[1])).tolist() if p and text[p - 1] in SPACE]
     if not common:
         return None
-    inside = lambda e, p: e[0][np.searchsorted(e[1], p) : np.searchsorted(e[1], common[-1])]
-    return next((p for p in common if np.array_equal(inside(first, p), inside(second, p))), None)
+    between = lambda e, p: e[0][np.searchsorted(e[1], p) : np.searchsorted(e[1], common[-1])]
+    return next((p for p in common if np.array_equal(between(first, p), between(second, p))), None)
 
 
-def chunked_ids(text: str, encode: Callable[[str], Encoded], chunk: int, overlap: int) -> tuple[np.ndarray, int]:
-    """Ids of the text from overlapping chunks, and how often an overlap was widened."""
-    n, begin, out, widened = len(text), 0, [], 0
+def spans(text: str | bytes, chunk: int, overlap: int) -> list[Span]:
+    """Where the chunks of a text begin and end; of bytes, never inside a character."""
+    n = len(text)
 
-    def at(a: int, b: int) -> Encoded:
-        ids, starts = encode(text[a:b])
-        return ids, starts + a
+    def edge(p: int) -> int:
+        while isinstance(text, bytes) and 0 < p < n and text[p] & 0xC0 == 0x80:
+            p -= 1
+        return min(p, n)
+
+    return [(edge(a), edge(a + chunk + overlap)) for a in range(0, max(1, n - overlap), chunk)]
 
-    end = min(n, chunk + overlap)
-    current = at(0, end)
-    while end < n:
-        start, wide = end - overlap, overlap
-        following_end = min(n, start + chunk + overlap)
-        following = at(start, following_end)
+
+def splices(text: str | bytes, chunks: list[Span], at: Callable[[int, int], Tokens], overlap: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Ids of the text, from one chunk after the other, and how often its overlap was widened."""
+    begin, end = chunks[0]
+    current, widened = at(begin, end), 0
+    for start, stop in chunks[1:]:
+        following, wide = at(start, stop), overlap
         splice = stable_start(text, current, following, start, end)
-        while splice is None and end < following_end:
+        while splice is None and end < stop:
             wide *= 2
             widened += 1
-            end = min(following_end, start + wide)
+            end = min(stop, start + wide)
             current = at(begin, end)
             splice = stable_start(text, current, following, start, end)
         if splice is None:  # the first chunk has taken in the second
-            overlap_end = end
-            if overlap_end < n:
-                end = min(n, overlap_end + chunk)
-                current = at(begin, end)
             continue
-        out.append(current[0][np.searchsorted(current[1], begin) : np.searchsorted(current[1], splice)])
-        begin, end = splice, following_end
+        yield current[0][: np.searchsorted(current[1], splice)], widened
         keep = np.searchsorted(following[1], splice)
-        current = following[0][keep:], following[1][keep:]
-    out.append(current[0][np.searchsorted(current[1], begin) :])
-    return np.concatenate(out), widened
+        begin, end, widened, current = splice, stop, 0, (following[0][keep:], following[1][keep:])
+    yield current[0], widened
+
+
+def chunked_ids(text: str, encode: Callable[[str], Tokens], chunk: int, overlap: int) -> tuple[np.ndarray, int]:
+    """Ids of the text from overlapping chunks, and how often an overlap was widened. encode: ids and starts of a string."""
+
+    def at(a: int, b: int) -> Tokens:
+        ids, starts = encode(text[a:b])
+        return ids, starts + a
 
+    ids, widened = zip(*splices(text, spans(text, chunk, overlap), at, overlap), strict=True)
+    return np.concatenate(ids), sum(widened)
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int = 1 << 16, chunk: int = 1 << 15, overlap: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens, over_limit, widened."""
+
+def encoded_spans(texts: list[bytes], encoder: WordEncoder) -> list[Tokens]:
+    """Ids and starts of each text."""
+    found = encoder.encode_all(texts)
+    starts = np.repeat(found.at, np.diff(found.piece_ids))
+    edge = found.text_ids.tolist()
+    return [(found.ids[a:b], starts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def chunked_counts(texts: list[bytes], encoder: WordEncoder, chunk: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
+    """(tokens, chunks, widened overlaps) of each text; the chunks of all texts are encoded together."""
+    cuts = [spans(t, chunk, overlap) for t in texts]
+    tokens = iter(encoded_spans([t[a:b] for t, chunks in zip(texts, cuts, strict=True) for a, b in chunks], encoder))
+    counts, wider = [], []
+    for text, chunks in zip(texts, cuts, strict=True):
+        if len(chunks) == 1:
+            counts.append(len(next(tokens)[0]))
+            wider.append(0)
+            continue
+        ready = {(a, b): (ids, starts + a) for (a, b), (ids, starts) in zip(chunks, tokens, strict=False)}
+
+        def at(a: int, b: int, text: bytes = text, ready: dict[Span, Tokens] = ready) -> Tokens:
+            if (a, b) not in ready:
+                while b < len(text) and text[b] & 0xC0 == 0x80:
+                    b -= 1
+                (ids, starts), *_ = encoded_spans([text[a:b]], encoder)
+                return ids, starts + a
+            return ready[a, b]
+
+        found = list(splices(text, chunks, at, overlap))
+        counts.append(sum(len(ids) for ids, _ in found))
+        wider.append(sum(w for _, w in found))
+    return counts, [len(c) for c in cuts], wider
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int = 4096, overlap: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_bytes, n_tokens, over_limit, chunks, widened."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
 
-        def encode(text: str) -> Encoded:
-            e = encoder.tokenizer.encode(text, add_special_tokens=False)
-            return np.asarray(e.ids, np.int64), np.asarray([a for a, _ in e.offsets], np.int64)
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or b"" for t in as_bytes(batch.column(1))]
-            short = [i for i, t in enumerate(texts) if len(t) <= huge]
-            counts, widened = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            counts[short] = [len(x) // 4 for x in encoder.encode([texts[i] for i in short])]
-            for i in set(range(len(texts))).difference(short):
-                ids, widened[i] = chunked_ids(texts[i].decode("utf-8", "replace"), encode, chunk, overlap)
-                counts[i] = len(ids)
+            counts, chunks, widened = (np.array(x, np.int64) for x in chunked_counts(texts, encoder, chunk, overlap))
             sizes = np.array([len(t) for t in texts], np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (sizes, counts, counts > limit, widened))], [id_col, "n_bytes", "n_tokens", "over_limit", "widened"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (sizes, counts, counts > limit, chunks, widened))], [id_col, "n_bytes", "n_tokens", "over_limit", "chunks", "widened"])
 
         return run
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, widened long", text_col, 2 << 20)
+    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, chunks long, widened long", text_col, 4 << 20)

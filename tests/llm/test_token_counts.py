@@ -49,7 +49,7 @@ def test_counts(spark, library):
     r = random.Random(9)
     rows = [(i, "".join(r.choice(PARTS) for _ in range(r.randrange(400)))) for i in range(120)] + [(5, None), (None, ""), (6, "a b " * 30000), (7, "q" * 5000)]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_tokens int")
-    got = tc.count_tokens(docs, PATH, huge=500, chunk=200, overlap=20).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+    got = tc.count_tokens(docs, PATH, chunk=200, overlap=20).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert tc.count_tokens(docs.limit(0), PATH).count() == 0
