@@ -7,8 +7,9 @@ functions compose associatively: blocks of symbols are composed at the same time
 are prefix-composed by doubling, and a last pass walks all blocks from their true first states. Texts of a batch are
 scanned together, with a resetting symbol between them.
 
-Pair merging: the slices between boundaries are looked up in a cache; those missing are merged together, one merge
-per slice and round, always the leftmost pair of the lowest rank. Long slices use a heap instead.
+Pair merging: each distinct slice between boundaries is looked up once in a cache, which a Python worker keeps from
+task to task; those missing are merged together, one merge per slice and round, always the leftmost pair of the lowest
+rank. Long slices use a heap instead.
 
 Token byte offsets follow from the lengths of the tokens' bytes and are kept beside the ids; decoding joins the
 tokens' bytes.
@@ -24,14 +25,15 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Callable
-from itertools import chain
+from functools import cache as kept
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldstone.llm.arrow import as_bytes, map_batches
+from fieldstone.llm.arrow import Halves, as_bytes, gathered, map_batches
 
 #: White space of the split pattern, and its contractions.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -122,7 +124,7 @@ def symbols_of(points: np.ndarray, table: np.ndarray, resets: np.ndarray) -> np.
 class ByteBPE:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, cache: int = 200_000, long: int = 48):
+    def __init__(self, path: str, cache: int = 120_000, long: int = 48):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -130,36 +132,37 @@ class ByteBPE:
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        pairs, merged = array("q"), array("q")
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = rank
-        keys = np.fromiter(pairs, np.int64, len(pairs))
+                    pairs.append(a << 20 | b)
+                    merged.append(rank)
+        keys, values = np.frombuffer(pairs, np.int64), np.frombuffer(merged, np.int64)
         order = np.argsort(keys)
-        self.keys, self.values = np.append(keys[order], 1 << 62), np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], 0)
+        self.keys, self.values = np.append(keys[order], 1 << 62), np.append(values[order], 0)
         self.none = 1 << 40
         self.table = class_table()
-        self.size, self.long, self.new, self.old = cache, long, {}, {}
+        self.long, self.known = long, Halves(cache)
 
-    def slices(self, texts: list[str]) -> list[list[bytes]]:
-        """The pre-tokens of each text."""
-        joined = "\0".join(texts) + "\0"
+    def cut(self, texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+        """(the pre-tokens of all texts, each text followed by a separator; the number of each separator)."""
+        joined = "\0".join([*texts, ""])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # of the texts, in code points
         symbols = symbols_of(points, self.table, ends)
         starts = np.flatnonzero(BEGINS[symbols, scan(symbols)])
-        at = np.zeros(len(points) + 1, np.int64)
-        np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+        at = np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), dtype=np.int32)
+        offsets = np.concatenate([np.where(starts > 0, at[starts - 1], 0), at[-1:]]).astype(np.int32)
         data = joined.encode("utf-8", "surrogatepass")
-        begin = at[starts].tolist()
-        all_slices = [data[a:b] for a, b in zip(begin, [*begin[1:], len(data)], strict=True)]
-        out, last = [], 0
-        for end in np.searchsorted(starts, ends).tolist():  # the slice that is the separator
-            out.append(all_slices[last:end])
-            last = end + 1
-        return out
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(starts, ends)
+
+    def slices(self, texts: list[str]) -> list[list[bytes]]:
+        """The pre-tokens of each text."""
+        found, ends = self.cut(texts)
+        found, last = found.to_pylist(), [0, *(ends + 1).tolist()]
+        return [found[a:b] for a, b in zip(last, ends.tolist(), strict=False)]
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 20 | right
@@ -240,18 +243,14 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = self.slices(texts)
-        needed = set(chain.from_iterable(split))
-        unknown = needed.difference(self.new)
-        if len(self.new) + len(unknown) > self.size:
-            self.old, self.new, unknown = self.new, {}, needed
-        if unknown:
-            found = unknown.intersection(self.old)
-            self.new.update((p, self.old[p]) for p in found)
-            missing = list(unknown.difference(found))
-            self.new.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(missing, self.merge(missing), strict=True))
-        get = self.new.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        if not texts:
+            return []
+        found, ends = self.cut(texts)
+        found = found.dictionary_encode()
+        learn = lambda pieces: [array("I", ids).tobytes() for ids in self.merge(pieces)]
+        ids, edges = gathered(self.known.values(found.dictionary.to_pylist(), learn), found.indices.to_numpy())
+        begins, data = [0, *(4 * edges[ends[:-1] + 1]).tolist()], ids.tobytes()
+        return [data[a:b] for a, b in zip(begins, (4 * edges[ends]).tolist(), strict=True)]
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Byte offsets of the tokens' ends in the text."""
@@ -261,6 +260,12 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@kept
+def encoder_of(path: str) -> ByteBPE:
+    """The encoder of a Python worker: later tasks of the same worker find its cache filled."""
+    return ByteBPE(path)
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in as_bytes(column)]
 
@@ -269,7 +274,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     """One row per document: id, tokens, ends (byte offset of each token's end)."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = ByteBPE(ranks)
+        bpe = encoder_of(ranks)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = bpe.encode(_texts(batch.column(1)))
@@ -286,7 +291,7 @@ def decode(encoded: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
     """id and the text that the tokens stand for."""
 
     def run(batches):
-        bpe = ByteBPE(ranks)
+        bpe = encoder_of(ranks)
         for batch in batches:
             texts = [bpe.decode(np.asarray(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
@@ -299,7 +304,7 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
     """Encode every text and decode its ids again, in one pass: id, n_tokens, ids_sha256, decoded_sha256."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = ByteBPE(ranks)
+        bpe = encoder_of(ranks)
         sha = lambda x: hashlib.sha256(x).hexdigest()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
