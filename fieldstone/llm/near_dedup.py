@@ -41,8 +41,8 @@ from fieldstone.shared import written
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 #: Texts and shingles of a block of a crowded node, about; a task holds two blocks at a time.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-#: Ids of at most this many texts are broadcast (8 bytes each); more are joined by sort-merge.
-BROADCAST_IDS = 1_000_000
+#: At most this many ids or nodes are broadcast (some 40 bytes each); more are joined by sort-merge.
+BROADCAST_IDS = 300_000
 
 _random = np.random.Generator(np.random.Philox(key=20240229))
 _factors = _random.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,17 +86,20 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("id", F.explode(paths).alias("p")).select("p.tree", "p.path", "id")
 
 
+def of_ids(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join of rows with distinct keys; broadcasts the keys only if they are few enough."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys.hint("merge"), on, how)
+
+
 def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(near, all, crowded): pairs (a, b) with a < b, each once; near has a bounded number for each text. crowded has the
     tree, node and id of the texts in nodes that are crowded at MIN_DEPTH."""
     near, every, crowds = [], [], None
     for depth in range(MIN_DEPTH, DEPTH + 1):
         keyed = rows.withColumn("node", F.expr(f"substring(path, 1, {2 * depth})"))
-        nodes = keyed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-        shared = keyed.hint("merge").join(nodes, ["tree", "node"])
-        crowded = F.col("n") > crowd
-        rows = written(shared.filter(crowded).select("tree", "path", "id", "n", "first"), "crowded")
-        small = shared.filter(~crowded).select("tree", "node", F.lit(0).alias("part"), "path", "id")
+        full = written(keyed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter(F.col("n") > crowd), "crowded-nodes")
+        rows = written(of_ids(keyed, full, ["tree", "node"], "inner").select("tree", "path", "id", "n", "first"), "crowded")
+        small = of_ids(keyed, full.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.lit(0).alias("part"), "path", "id")
         if depth == DEPTH:
             part = F.pmod(F.xxhash64("tree", "id"), F.ceil(F.col("n") / crowd)).cast("int")
             small = small.unionByName(rows.select("tree", F.col("path").alias("node"), part.alias("part"), "path", "id"))
@@ -105,10 +108,10 @@ def candidates(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataF
         rows = rows.drop("n", "first")
         if crowds is None:
             crowds = rows.select("tree", F.expr(f"substring(path, 1, {2 * depth})").alias("node"), "id")
-        groups = written(small.groupBy("tree", "node", "part").agg(F.array_sort(F.collect_list(F.struct("path", "id"))).alias("m")), "nodes")
+        groups = small.groupBy("tree", "node", "part").agg(F.array_sort(F.collect_list(F.struct("path", "id"))).alias("m"))
+        groups = written(groups.filter("size(m) > 1"), "nodes")
         steps = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.struct(F.element_at("m", i)["id"].alias("x"), F.element_at("m", i + 1)["id"].alias("y")))
         pairs = F.expr("flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m) - i), o -> struct(m[i - 1].id AS x, o.id AS y))))")
-        groups = groups.filter("size(m) > 1")
         ordered = lambda df: df.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
         near.append(ordered(groups.select(F.explode(steps).alias("p"))))
         if depth == MIN_DEPTH:  # deeper nodes are parts of crowded ones, which within_crowds() compares whole
@@ -133,11 +136,6 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, estimate double")
 
 
-def of_ids(docs: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join of documents with distinct ids; broadcasts the ids only if they are few enough."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), on, how)
-
-
 def texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """node (as `id`), text of distinct nodes. nodes: id; reps: node, id, hash; docs: id, text, hash."""
     rows = reps.select("node", "id", "hash").join(nodes.select(F.col("id").alias("node")), "node")
@@ -281,7 +279,10 @@ def labelled(docs: DataFrame, width: int = 5, percent: int = 80, crowd: int = 24
     classes = written(reps.select("digest", "node", "id").join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component")), "classes")
     smallest = classes.groupBy("component").agg(F.min("id").alias("c"))
     classes = classes.select("digest", "component").join(smallest, "component").select("digest", "c")
-    out = sets.drop("signature").join(written(classes, "named-classes"), "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
+    sets = sets.drop("signature")
+    labels = sets.filter("digest IS NOT NULL").join(written(classes, "named-classes"), "digest", "left")
+    out = labels.unionByName(sets.filter("digest IS NULL"), allowMissingColumns=True)  # empty texts are many and alike
+    out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     return out.select(F.col("id").alias(id_col), "hash", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -292,6 +293,6 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents that near_duplicates() keeps, with their own columns."""
-    gone = labelled(docs, id_col=id_col, text_col=text_col, **settings).filter("NOT kept").select(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).distinct()
-    rows = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_hash": F.xxhash64(text_col)})
-    return of_ids(rows, written(gone, "near-dropped"), ["_id", "_hash"], "left_anti").select(*docs.columns)
+    gone = labelled(docs, id_col=id_col, text_col=text_col, **settings).filter("NOT kept").select(F.col(id_col).alias("id"), "hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"))
+    return of_ids(rows, written(gone, "near-dropped"), ["id", "hash"], "left_anti").select("row.*")

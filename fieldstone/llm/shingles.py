@@ -13,16 +13,18 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
-_powers = {BYTE_BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
+#: Bytes of words whose sums are taken together; a longer word stands alone.
+SEGMENT = 1 << 18
 
 
-def powers(base: int, n: int) -> np.ndarray:
+def _powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n-1) modulo 2**64."""
-    if len(_powers[base]) < n:
-        steps = np.full(max(n, 2 * len(_powers[base])), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base][:n]
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_up, _down = _powers(BYTE_BASE, SEGMENT), _powers(INVERSE, SEGMENT)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,9 +40,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _space[data]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * powers(INVERSE, len(data))[begin])
+    hashes, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + SEGMENT, "right")))
+        first, n = begin[i], int(end[j - 1] - begin[i])
+        up, down = (_up[:n], _down) if n <= SEGMENT else (_powers(BYTE_BASE, n), _powers(INVERSE, n))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[first : first + n].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        hashes[i:j] = (sums[end[i:j] - first] - sums[begin[i:j] - first]) * down[begin[i:j] - first]
+        i = j
+    hashes = mix(hashes)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(begin, at)
 
