@@ -11,6 +11,7 @@ result; other columns are carried through or ignored, whatever they are called.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,25 @@ from fieldstone.shared import shared_path, written
 
 #: Fixed value: the white space that is folded.
 SPACE = r"[\x20\x09-\x0D]+"
+#: At most this many keys of dropped rows are broadcast (some 100 bytes each); more are joined by sort-merge.
+BROADCAST_KEYS = 200_000
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Take the indexes out of the catalogue when the driver ends; their files stay."""
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the JVM has gone already
+            return
+
+
+def _quoted(text: str) -> str:
+    """A string literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def digest_of(text: Column) -> Column:
@@ -39,8 +59,9 @@ class DigestIndex:
         self.table = f"digest_index_{uuid.uuid4().hex[:12]}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, copies BIGINT, batch STRING) USING parquet "
-            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION {_quoted(path)}"
         )
+        _tables.append((spark, self.table))
         if self._has_data():
             spark.sql(f"MSCK REPAIR TABLE {self.table}")
 
@@ -62,7 +83,7 @@ class DigestIndex:
     def _append(self, new: DataFrame, batch: str) -> None:
         view = f"v_{uuid.uuid4().hex[:12]}"
         written(new, "digest-new").repartition(self.buckets, "digest").createOrReplaceTempView(view)
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}') SELECT digest, keep_id, copies FROM {view}")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = {_quoted(batch)}) SELECT digest, keep_id, copies FROM {view}")
         self.spark.catalog.dropTempView(view)
         self.spark.catalog.refreshTable(self.table)
 
@@ -100,12 +121,27 @@ def mark_duplicates(docs: DataFrame, index: DigestIndex, batch: str = "0", id_co
 def drop_duplicates(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns and no other.
 
-    Joined on digest and id together, so that a text with many copies does not meet in one task.
+    What is dropped is found on narrow rows, by digest and id together, so that a text with many copies does not meet in
+    one task; the texts are read once more and only shuffled if the dropped keys are too many to be broadcast. Of rows
+    with equal ids and texts the one with the smallest hash of all its columns stays.
     """
-    _, groups = decide(docs, index, batch, id_col, text_col)
-    stay = groups.filter(F.col("keep_row").isNotNull()).select(F.col("digest").alias("__digest"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__id"))
-    keyed = docs.withColumns({"__digest": digest_of(F.col(text_col)), "__id": F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.lit(""))})
-    return keyed.join(stay, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest", "__id"]).drop("__digest", "__id")
+    rows, groups = decide(docs, index, batch, id_col, text_col)
+    stay = groups.filter(F.col("keep_row").isNotNull()).select("digest", F.col("keep_id").alias("id"), "keep_row")
+    same = (rows["digest"] == stay["digest"]) & rows["id"].eqNullSafe(stay["id"])
+    gone = rows.join(stay.hint("merge"), same, "left").filter("keep_row IS NULL OR keep_row <> row").select(rows["digest"], rows["id"], F.col("keep_row").isNotNull().alias("again"))
+    gone = written(gone.distinct(), "digest-dropped")
+    keyed = docs.select(F.struct("*").alias("row"), digest_of(F.col(text_col)).alias("digest"), F.col(id_col).cast("bigint").alias("id"))
+
+    def matched(keys: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+        return keyed.join(side, (keyed["digest"] == keys["digest"]) & keyed["id"].eqNullSafe(keys["id"]), how)
+
+    out = matched(gone.select("digest", "id"), "left_anti").select("row")
+    again = gone.filter("again").select("digest", "id")
+    if not again.isEmpty():
+        hashed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema if "map" not in f.dataType.simpleString()])
+        out = out.unionByName(matched(again, "left_semi").groupBy("digest", "id").agg(F.min_by("row", hashed).alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def new_index(spark: SparkSession, path: str | None = None, buckets: int = 64) -> DigestIndex:
