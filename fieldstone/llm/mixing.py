@@ -6,13 +6,15 @@ texts of like length); one random offset is added; a document is emitted once fo
 of the sum crosses. Neighbours in that order have like sizes, so the words taken come near the target, and no
 document is taken more often than its expected copies rounded up.
 
-The prefix sum is two-level: a source is cut into bins by size class and hash, whose sums are added up over a small
-table of bins; only the order inside a bin needs a sort. A bin holds a bounded share of a source, so no task gets a
-whole source. Expected copies are whole multiples of 2**-24, so that sums are exact and reruns agree.
+The prefix sum has three levels: a source is cut into classes of like size, a class into bins by a hash of id and text,
+of which there are more when there are more rows. Sums over classes and over the bins of a class are taken on small
+tables; only the order inside a bin needs a sort, and a bin has some 100 000 rows at most, whatever the sizes and ids
+are. Expected copies are whole multiples of 2**-24, so that sums are exact and reruns agree.
 
 Defined cases: a null or empty text has size 0 and takes no words; a null source is a source of its own, last in
-order; rows that repeat count as documents of their own; a null id is hashed as empty; an empty table gives an
-empty result; other columns are carried through or ignored.
+order; rows that repeat count as documents of their own; a null id is hashed as empty; of rows with equal ids and texts
+any are taken, as many as the sum says; an empty table gives an empty result; other columns are carried through or
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -38,19 +40,19 @@ def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("bigint")
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, size: Column, sub_bins: int) -> DataFrame:
-    """docs with the internal columns of the order within a source."""
-    return docs.withColumns({"__size": size, "__key": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))}).withColumns(
-        {
-            "__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("null")),
-            "__bin": F.floor(8 * F.sqrt(F.sqrt(F.col("__size").cast("double")))).cast("bigint"),
-            "__sub": _number(F.substring("__key", 1, 4)) % sub_bins,
-        }
+def _placed(docs: DataFrame, row: list[Column], id_col: str, source_col: str, text_col: str, bin_rows: int) -> DataFrame:
+    """`row` of each document beside the internal columns of the order within a source."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bins = max(16, -(-docs.count() // bin_rows))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    keyed = docs.select(F.struct(*row).alias("row"), word_count(text).alias("size"), key.alias("key"), F.col(source_col).alias("source"))
+    return keyed.withColumns(
+        {"class": F.floor(8 * F.sqrt(F.sqrt(F.col("size").cast("double")))).cast("bigint"), "bin": _number(F.substring("key", 1, 8)) % bins, "named": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))}
     )
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """sizes (__source, source, source_size), one row per source -> with weight and target.
+    """sizes (named, source, source_size), one row per source -> with weight and target.
 
     Sources by code point, null last, weigh `weights` in turn and share `share` of all sizes; a target stops at `cap`
     times its source's size and the excess goes to the others by weight. Sorted by cap over weight, the sources that
@@ -67,33 +69,35 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     df = df.withColumn("__stops", F.min("__stops").over(level.rowsBetween(Window.unboundedPreceding, 0)))
     left = F.col("__total") - F.coalesce(F.sum(F.when(F.col("__stops"), F.col("__cap"))).over(every), F.lit(0.0))
     free = F.sum(F.when(~F.col("__stops"), F.col("weight"))).over(every)
-    return df.withColumn("target", F.when(F.col("__stops"), F.col("__cap")).otherwise(F.col("weight") * (left / free))).select("__source", "source", "source_size", "weight", "target")
+    return df.withColumn("target", F.when(F.col("__stops"), F.col("__cap")).otherwise(F.col("weight") * (left / free))).select("named", "source", "source_size", "weight", "target")
 
 
-def _counted(placed: DataFrame, source_col: str, seed: int, **law) -> DataFrame:
-    """placed with __copies and the figures of the source."""
-    keys = ["__source", "__bin", "__sub"]
-    bins = written(placed.groupBy(F.col(source_col).alias("source"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("words")), "mix-bins")
-    targets = source_targets(bins.groupBy("__source", "source").agg(F.sum("words").alias("source_size")), **law)
+def _counted(placed: DataFrame, seed: int, **law) -> DataFrame:
+    """placed with copies and the figures of the source."""
+    keys = ["named", "class", "bin"]
+    bins = written(placed.groupBy("source", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-bins")
+    classes = bins.groupBy("source", "named", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    targets = source_targets(classes.groupBy("named", "source").agg(F.sum("words").alias("source_size")), **law)
     each = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("bigint")
-    offset = _number(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "__source")), 1, 6))
-    order = Window.partitionBy("__source").orderBy("__bin", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bins.drop("source", "words").hint("merge").join(targets.drop("source").withColumns({"__each": each}), "__source").withColumn(
-        "__start", F.coalesce(F.sum(F.col("n") * F.col("__each")).over(order), F.lit(0)) + offset
-    ).select(*keys, "__start", "__each", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rank = Window.partitionBy(*keys).orderBy("__size", "__key").rowsBetween(Window.unboundedPreceding, 0)
-    df = placed.join(written(starts, "mix-starts").hint("merge"), keys).withColumn("__end", F.col("__start") + F.sum("__each").over(rank))
-    return df.withColumn("__copies", F.shiftright("__end", UNIT_BITS) - F.shiftright(F.col("__end") - F.col("__each"), UNIT_BITS))
+    offset = _number(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "named")), 1, 6))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = classes.withColumn("below", before("named", "class")).select("named", "class", "below").hint("merge").join(
+        targets.select("named", "source_size", "target", each.alias("each"), offset.alias("offset")), "named"
+    )
+    starts = bins.select(*keys, before("named", "class", "bin").alias("within")).hint("merge").join(first, ["named", "class"])
+    starts = starts.select(*keys, "source_size", "target", "each", ((F.col("below") + F.col("within")) * F.col("each") + F.col("offset")).alias("start"))
+    rank = Window.partitionBy(*keys).orderBy("size", "key").rowsBetween(Window.unboundedPreceding, 0)
+    df = placed.drop("source").join(written(starts, "mix-starts").hint("merge"), keys).withColumn("end", F.col("start") + F.sum("each").over(rank))
+    return df.withColumn("copies", F.shiftright("end", UNIT_BITS) - F.shiftright(F.col("end") - F.col("each"), UNIT_BITS))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, sub_bins: int = 16, **law) -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, bin_rows: int = 100_000, **law) -> DataFrame:
     """One row per document: id, size, source_size, target, copies, taken."""
-    narrow = written(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("__words")), "mix-sizes")
-    out = _counted(_placed(narrow, id_col, source_col, F.col("__words"), sub_bins), source_col, seed, **law)
-    return out.select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    narrow = written(_placed(docs, [F.col(id_col).alias("id")], id_col, source_col, text_col, bin_rows), "mix-sizes")
+    return _counted(narrow, seed, **law).select(F.col("row.id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, sub_bins: int = 16, **law) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, bin_rows: int = 100_000, **law) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with its own columns and no other."""
-    out = _counted(_placed(docs, id_col, source_col, word_count(F.col(text_col)), sub_bins), source_col, seed, **law)
-    return out.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    out = _counted(_placed(docs, [F.col("*")], id_col, source_col, text_col, bin_rows), seed, **law)
+    return out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

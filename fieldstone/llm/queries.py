@@ -33,8 +33,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
-p AS (SELECT *, CAST(floor(8 * sqrt(sqrt(CAST(size AS DOUBLE)))) AS BIGINT) AS bin, CAST('0x' || substr(k, 1, 4) AS BIGINT) % 16 AS sub FROM d),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
+p AS (SELECT *, CAST(floor(8 * sqrt(sqrt(CAST(size AS DOUBLE)))) AS BIGINT) AS bin, CAST('0x' || substr(k, 1, 8) AS BIGINT) % (SELECT greatest(16, CAST(ceil(count(*) / 1e5) AS BIGINT)) FROM d) AS sub FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM p GROUP BY source),
 w AS (SELECT *, [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2e0 * source_size AS cap, 1.5e0 * sum(source_size) OVER () AS total FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),
