@@ -1,17 +1,19 @@
 """Sharding by histogram sort: shards of nearly equal bytes, ranges of one sorted order.
 
 The order is by text hash, then id hash, then row number, so equal texts stand together, yet a group of copies of any
-size can be split between shards. The key is a string of 160 bits, of which each round looks at the next ten: bytes
-are summed exactly by key prefix, inside the intervals that still hold a splitter, and each splitter moves into the
-prefix that its target number of bytes falls in. Splitters whose interval is at most `tolerance` of a shard stay where
-they are. When all are in place, every row knows its range and rows are exchanged once.
+size can be split between shards. The key is a string of 180 bits, of which each round looks at the next ten: bytes and
+rows are counted exactly by key prefix, inside the intervals that still hold a splitter, and each splitter moves into
+the prefix that its target number of bytes falls in. Splitters whose interval is at most `tolerance` of a shard, or has
+a single row, stay where they are. When all are in place, every row knows its range and rows are exchanged once. Row
+numbers decide only between rows of equal text and id, which are alike to the shards.
 
 Ranges are finer than shards by `finer`, and a row's slot is its rank inside its range plus the rows of the shard's
 ranges before it, so no task sorts a whole shard.
 
 Defined cases: a null text has no bytes and the checksum of the empty text; a null id is hashed as empty; rows that
-repeat are placed one by one; fewer rows than shards leave shards empty; an empty table gives an empty result; other
-columns are carried through by `shard` and ignored by `assign`.
+repeat are placed one by one; a text larger than a shard has one alone, or shares it with its neighbours; fewer rows
+than shards leave shards empty; an empty table gives an empty result; other columns are carried through by `shard`,
+whatever they are called, and ignored by `assign`.
 """
 
 from __future__ import annotations
@@ -28,24 +30,21 @@ WORDS = 3  # 64-bit words of the key: text hash, id hash, row number
 def _digit(r: int) -> Column:
     """The r-th group of BITS of the key, from the left; six groups (60 bits) of each word."""
     word, k = divmod(r, 6)
-    return F.shiftrightunsigned(F.col(f"__k{word}"), 60 - BITS * (k + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return F.shiftrightunsigned(F.col(f"k{word}"), 60 - BITS * (k + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
 def _prefix(r: int) -> list[Column]:
     return [_digit(k) for k in range(r)]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, row: list[Column], id_col: str, text_col: str) -> DataFrame:
+    """`row` of each document beside its size and key."""
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     mask = F.lit((1 << 60) - 1)
-    return docs.withColumns(
-        {
-            "__size": F.octet_length(text).cast("bigint") + 16,
-            "__k0": F.xxhash64(text).bitwiseAND(mask),
-            "__k1": F.xxhash64(F.lit("id"), key).bitwiseAND(mask),
-            "__k2": F.monotonically_increasing_id().bitwiseAND(mask),
-        }
-    )
+    return docs.select(
+        F.struct(*row).alias("row"), (F.octet_length(text).cast("bigint") + 16).alias("size"), F.xxhash64(text).bitwiseAND(mask).alias("k0"),
+        F.xxhash64(F.lit("id"), key).bitwiseAND(mask).alias("k1"), F.monotonically_increasing_id().bitwiseAND(mask).alias("k2"),
+    )
 
 
 def find_splitters(keys: DataFrame, ranges: int, tolerance: float = 0.005) -> list[tuple[int, ...]]:
@@ -53,7 +52,7 @@ def find_splitters(keys: DataFrame, ranges: int, tolerance: float = 0.005) -> li
 
     Each round collects at most 2**BITS sums for each interval that holds a splitter.
     """
-    total = keys.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     targets = [total * k / ranges for k in range(1, ranges)]
     slack = tolerance * total / ranges
     placed: dict[int, tuple[int, ...]] = {}
@@ -65,18 +64,18 @@ def find_splitters(keys: DataFrame, ranges: int, tolerance: float = 0.005) -> li
         inside = keys
         if r:
             wanted = keys.sparkSession.createDataFrame([(list(p),) for p in open_at], "p array<int>")
-            inside = keys.withColumn("__p", F.array(*digits)).join(F.broadcast(wanted), F.col("__p") == F.col("p"), "left_semi")  # at most ranges-1 rows
+            inside = keys.withColumn("q", F.array(*digits)).join(F.broadcast(wanted), F.col("q") == F.col("p"), "left_semi")  # at most ranges-1 rows
         else:
-            inside = keys.withColumn("__p", F.array().cast("array<int>"))
-        sums: dict[tuple[int, ...], dict[int, int]] = {}
-        for row in inside.groupBy("__p", _digit(r).alias("d")).agg(F.sum("__size").alias("n")).collect():
-            sums.setdefault(tuple(row["__p"]), {})[row["d"]] = row["n"]
+            inside = keys.withColumn("q", F.array().cast("array<int>"))
+        sums: dict[tuple[int, ...], dict[int, tuple[int, int]]] = {}
+        for row in inside.groupBy("q", _digit(r).alias("d")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect():
+            sums.setdefault(tuple(row["q"]), {})[row["d"]] = row["n"], row["rows"]
         following: dict[tuple[int, ...], tuple[int, list[int]]] = {}
         for prefix, (below, splitters) in open_at.items():
-            for d, n in sorted(sums.get(prefix, {}).items()):
+            for d, (n, rows) in sorted(sums.get(prefix, {}).items()):
                 for s in [s for s in splitters if below <= targets[s] < below + n and s not in placed]:
                     near, far = targets[s] - below, below + n - targets[s]
-                    if min(near, far) <= slack or r == 6 * WORDS - 1:
+                    if min(near, far) <= slack or rows == 1 or r == 6 * WORDS - 1:
                         placed[s] = (*prefix, d) if near <= far else (*prefix, d + 1)
                     else:
                         following.setdefault((*prefix, d), (below, []))[1].append(s)
@@ -102,9 +101,9 @@ def _range_of(splitters: list[tuple[int, ...]]) -> Column:
     bounds = sorted(map(_packed, splitters))
 
     def reached(b: tuple[int, ...]) -> Column:
-        out = F.col(f"__k{WORDS - 1}") >= F.lit(b[-1])
+        out = F.col(f"k{WORDS - 1}") >= F.lit(b[-1])
         for w in reversed(range(WORDS - 1)):
-            out = (F.col(f"__k{w}") > F.lit(b[w])) | ((F.col(f"__k{w}") == F.lit(b[w])) & out)
+            out = (F.col(f"k{w}") > F.lit(b[w])) | ((F.col(f"k{w}") == F.lit(b[w])) & out)
         return out
 
     def search(lo: int, hi: int) -> Column:
@@ -118,21 +117,29 @@ def _range_of(splitters: list[tuple[int, ...]]) -> Column:
 
 def assign(docs: DataFrame, shards: int = 40, finer: int = 4, tolerance: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = written(_keyed(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__size", "__k0", "__k1", "__k2", F.crc32(text.cast("binary")).alias("__crc")), "shard-keys")
-    placed = narrow.withColumn("__range", _range_of(find_splitters(narrow, shards * finer, tolerance)))
-    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).withColumn("__shard", F.floor(F.col("__range") / finer).cast("int"))
-    before = Window.partitionBy("__shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("__range", "__shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))  # shards * finer rows
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__k0", "__k1", "__k2"))
-    return placed.join(F.broadcast(first), "__range").select(
-        id_col, F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), (F.col("__first") + rank - 1).cast("bigint").alias("slot")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    narrow = written(_keyed(docs, [F.col(id_col).alias("id"), crc.alias("crc")], id_col, text_col), "shard-keys")
+    placed = narrow.withColumn("range", _range_of(find_splitters(narrow, shards * finer, tolerance)))
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.floor(F.col("range") / finer).cast("int"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("range", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # shards * finer rows
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("k0", "k1", "k2"))
+    return placed.join(F.broadcast(first), "range").select(
+        F.col("row.id").alias(id_col), "size", F.col("row.crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("first") + rank - 1).cast("bigint").alias("slot")
     )
 
 
-def shard(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents, with their own columns, as one sorted folder per shard under `path`, after one exchange."""
-    narrow = written(_keyed(docs.select(id_col, text_col), id_col, text_col).select("__size", "__k0", "__k1", "__k2"), "shard-keys")
-    splitters = find_splitters(narrow, shards, tolerance)
-    placed = _keyed(docs, id_col, text_col).withColumn("shard", _range_of(splitters))
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "__k0", "__k1", "__k2").drop("__size", "__k0", "__k1", "__k2").write.partitionBy("shard").parquet(path)
+def shard(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.005, id_col: str = "doc_id", text_col: str = "text", folder: str = "shard") -> str:
+    """Write the documents, with their own columns, as one sorted folder per shard under `path`, after one exchange.
+
+    Folders are named by the column `folder`, with underscores after it if the documents have a column of that name;
+    the name used is returned.
+    """
+    while folder.lower() in (c.lower() for c in docs.columns):
+        folder += "_"
+    narrow = written(_keyed(docs, [F.lit(0).alias("none")], id_col, text_col).drop("row"), "shard-keys")
+    number = _range_of(find_splitters(narrow, shards, tolerance))
+    placed = _keyed(docs, [F.col("*")], id_col, text_col).withColumn("shard", number)
+    sorted_rows = placed.repartition(shards, "shard").sortWithinPartitions("shard", "k0", "k1", "k2")
+    sorted_rows.select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return folder

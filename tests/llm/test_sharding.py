@@ -53,6 +53,23 @@ def test_written_shards(spark):
     assert sorted(r.shard for r in back.select("shard").distinct().collect()) == [0, 1, 2, 3, 4]
 
 
+def test_clashing_names_and_very_long_texts(spark):
+    rows = [(i, f"t{i} " * 9, 7, "k", 3) for i in range(300)] + [(300, "long " * 200_000, 7, "k", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard int, k0 string, size int")
+    path = shared_path(spark, "shards")
+    assert sh.shard(docs, path, 4) == "shard_"
+    back = spark.read.parquet(path)
+    assert sorted(tuple(r) for r in back.select(*docs.columns).collect()) == rows
+    got = sh.assign(docs, 4).collect()
+    assert sorted(r["size"] for r in got)[-1] == 1_000_016 and sorted((r.shard, r.slot) for r in got) == sorted(set((r.shard, r.slot) for r in got))
+
+
+def test_rounds_stop_at_single_rows(spark):
+    docs = docs_of(spark, [(i, "x" * (100 + i), None) for i in range(200)])
+    keys = sh._keyed(docs, [sh.F.col("slot")], "doc_id", "text")
+    assert max(len(s) for s in sh.find_splitters(keys, 40, 0.005)) <= 3
+
+
 @pytest.mark.parametrize("splitter", [(1023,), (1024,), (1023, 1024), (5, 7)])
 def test_packed(splitter):
     value = 0
