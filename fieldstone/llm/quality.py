@@ -8,7 +8,8 @@ Cutoffs are chosen per stratum from labelled holdout texts. For every stratum an
 hypothesis "more than max_false_rejection of the good texts are rejected" is tested by the exact binomial tail; Holm's
 step-down procedure over all of them keeps the chance of any wrong certification under 1 - confidence. A stratum uses
 the strictest cutoff such that it and all more lenient ones are certified, and rejects nothing beyond the base rules
-if none is. The rule scales are parameters and are not fitted, so all labelled texts are holdouts.
+if none is. The rule scales are parameters and are not fitted, so all labelled texts are holdouts. A holdout is a
+distinct text of a stratum: copies of it, under whatever ids, count once, as the test needs independent draws.
 
 Defined cases: a null text has no words and fails the base rules; a text without words has all rule values 0; a label
 for no document, a null label and a null stratum are ignored or form a stratum of their own; of several labels of one
@@ -39,6 +40,7 @@ LOWER = bytes(range(97, 123))
 RULES = {"symbols": (0.01, 0.08), "shouting": (0.30, 0.90), "exclaiming": (0.02, 0.12), "lines_again": (0.30, 0.80), "words_again": (0.12, 0.20)}
 #: Cutoffs of the severity, lenient first.
 GRID = tuple(round(1 - i / 20, 2) for i in range(20))
+DIGEST = "text_digest"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaim")
 
 
@@ -104,14 +106,18 @@ def base_failed(n_words, n_repeat_words):
 
 
 def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """`keep` columns and FIGURES of every text."""
+    """`keep` columns, FIGURES and a digest of every text."""
     kept = docs.select(*keep, text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{k} long" for k in FIGURES)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{k} long" for k in FIGURES), f"{DIGEST} binary"])
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        import xxhash
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = np.array([figures(t) for t in as_bytes(batch.column(len(keep)))], np.int64).reshape(-1, len(FIGURES))
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(rows[:, i]) for i in range(len(FIGURES)))], [*keep, *FIGURES])
+            texts = as_bytes(batch.column(len(keep)))
+            rows = np.array([figures(t) for t in texts], np.int64).reshape(-1, len(FIGURES))
+            digests = pa.array([xxhash.xxh3_128_digest(t or b"") for t in texts], pa.binary())
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(rows[:, i]) for i in range(len(FIGURES))), digests], [*keep, *FIGURES, DIGEST])
 
         return run
 
@@ -160,14 +166,17 @@ def certify(counts: dict[str | None, list[int]], max_false_rejection: float, con
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", max_false_rejection: float = 0.02, confidence: float = 0.95) -> dict[str | None, float]:
-    """Cutoffs by stratum from the labelled documents (labels: id, quality; 1 is good) that pass the base rules.
+    """Cutoffs by stratum from the labelled texts (labels: id, quality; 1 is good) that pass the base rules.
 
-    Only counts per stratum and cutoff reach the driver.
+    Texts that have several labels, by their copies, are good only if all are. Only counts per stratum and cutoff reach
+    the driver.
     """
-    good = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality")).filter("quality = 1").select(id_col)
+    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("good"))
     passed = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     level = sum(((severity({k: F.col(k) for k in FIGURES}) >= c).cast("int") for c in GRID), F.lit(0))
-    rows = passed.select(id_col, F.col(stratum_col).alias("stratum"), level.alias("level")).join(good, id_col, "left_semi").groupBy("stratum", "level").count().collect()
+    texts = passed.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), DIGEST, level.alias("level")).join(known, F.col("id") == F.col("label_id"))
+    texts = texts.groupBy("stratum", DIGEST, "level").agg(F.min("good").alias("good")).filter("good = 1")
+    rows = texts.groupBy("stratum", "level").count().collect()
     counts: dict[str | None, list[int]] = {}
     for r in rows:
         counts.setdefault(r["stratum"], [0] * (len(GRID) + 1))[r["level"]] += r["count"]

@@ -84,6 +84,58 @@ def test_judge_and_keep_agree(spark):
     assert q.judge(docs.limit(0), labels).count() == 0 and q.judge(docs, labels.limit(0)).filter("kept").count() > 600
 
 
+def test_copies_are_one_holdout(spark):
+    """Ten texts certify nothing, however often they are repeated, under the same id or under others."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(10)]
+    rows = [(i * 100 + k % 50, t, "en") for i, t in enumerate(texts) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i * 100 + k, 1) for i in range(10) for k in range(50)], "doc_id long, quality int")
+    assert q.calibrate(q.measure(docs), labels) == {}
+    more = [(10_000 + i, " ".join(f"v{i}x{k}" for k in range(30)), "en") for i in range(600)]
+    labels = labels.unionByName(spark.createDataFrame([(r[0], 1) for r in more], "doc_id long, quality int"))
+    assert q.calibrate(q.measure(docs.unionByName(spark.createDataFrame(more, docs.schema))), labels) == {"en": q.GRID[-1]}
+
+
+def test_verdicts_follow_from_the_labels(spark):
+    """kept against the rule written out: counts of distinct good texts, exact tails by fractions, Holm's steps, cutoffs."""
+    from fractions import Fraction
+    from math import comb
+
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        lang = "en" if i % 3 else "de"
+        words = [f"w{r.randrange(10**6)}" for _ in range(30)]
+        for _ in range(r.choice([0, 0, 0, 1, 4])):
+            words[r.randrange(30)] = "Q$$$$"
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(words.count("Q$$$$") < 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in q.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    good, tests = dict(labels), []
+    p = Fraction(2, 100)
+    for lang in ("en", "de"):
+        severity = [got[i].severity for i, _, s in rows if s == lang and good[i]]
+        for g, cut in enumerate(q.GRID):
+            k, n = sum(s >= cut for s in severity), len(severity)
+            tail = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+            tests.append((tail, lang, g))
+    held = set()
+    for i, (tail, lang, g) in enumerate(sorted(tests)):
+        if tail > Fraction(5, 100) / (len(tests) - i):
+            break
+        held.add((lang, g))
+    cutoff = {}
+    for lang in ("en", "de"):
+        for g in range(len(q.GRID)):
+            if (lang, g) not in held:
+                break
+            cutoff[lang] = q.GRID[g]
+    assert cutoff
+    for i, _, lang in rows:
+        assert got[i].kept == (not got[i].base_failed and not got[i].severity >= cutoff.get(lang, 2.0))
+
+
 def test_numpy_and_column_severities_agree(spark):
     import numpy as np
     from pyspark.sql import functions as F
