@@ -2,11 +2,16 @@
 
 A response becomes a conversion record, whose block is the page's text, and a metadata record, whose block lists the
 source's headers and digests. Both refer to the response by WARC-Refers-To; the metadata record also names the
-conversion. Record ids are derived from the response's id, so a task that runs again writes the same records.
+conversion. Record ids are derived from the response's id, which is derived from page id, url and payload, so a task
+that runs again writes the same records and pages that share an id keep records of their own.
 
 Files are written by Spark's text writer with the record separator as its line end, so they are committed like any
 other output and can go to any file system; a row is the pair of records of one response. They are gzipped whole, hold
-at most `rows_per_file` pairs, and are read back as binary files, record by record by Content-Length.
+at most `rows_per_file` pairs, and are read back as binary files that are unpacked as a stream, record by record by
+Content-Length.
+
+A hidden element that is closed in its own tag is empty; a head without an end tag ends where the body begins, an
+unclosed script or style element at the end of the page, and of other unclosed hidden elements only the tag is left out.
 
 Defined cases: a null url is an empty target URI and a null page an empty page, which has an empty conversion; a null
 id gives an empty page-id field and is read back as null; rows that repeat give records with the same ids; line ends
@@ -19,6 +24,7 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,8 +41,11 @@ BLOCK = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split()
 )
-TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>")
-CLOSE = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in HIDDEN}
+TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+LOOSE = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>")  # a tag with a quote that never ends
+CLOSE = {name: re.compile(rf"</{name}\b" + (r"|<body\b|<(?:article|div|h[1-6]|main|p|section|table|ul)[\s>]" if name == "head" else ""), re.IGNORECASE) for name in HIDDEN}
+#: Hidden elements that run to the end of the page if they are not closed; of others only the tag is left out then.
+RAW = frozenset(("script", "style"))
 END = "\r\n\r\n"
 
 
@@ -48,13 +57,18 @@ def text_of(page: str) -> str:
         if page.startswith("<!--", tag):
             end = page.find("-->", tag + 4)
             at = len(page) if end < 0 else end + 3
-        elif m := TAG.match(page, tag):
+        elif m := TAG.match(page, tag) or LOOSE.match(page, tag):
             name, at = m[1].lower(), m.end()
             if name in BLOCK:
                 out.append("\n")
-            if name in HIDDEN and page[tag + 1] != "/":
+            if name in HIDDEN and page[tag + 1] != "/" and (name in RAW or page[at - 2] != "/"):
                 closing = CLOSE[name].search(page, at)
-                at = len(page) if closing is None else page.find(">", closing.end()) + 1 or len(page)
+                if closing is None:
+                    at = len(page) if name in RAW else at
+                elif page[closing.start() + 1] != "/":  # the body begins, so the head has ended
+                    at = closing.start()
+                else:
+                    at = page.find(">", closing.end()) + 1 or len(page)
         elif page.startswith(("<!", "<?", "</"), tag):
             at = page.find(">", tag) + 1
         else:
@@ -85,9 +99,9 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes, content_type
 def responses(pages: DataFrame, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id") -> DataFrame:
     """Response records of raw pages: page_id, record_id, target_uri, date, http_headers, payload."""
     uri, ident = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    key = F.md5(F.concat(ident, F.lit(" "), uri))
-    parts = [F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     payload = F.coalesce(F.col("html"), F.lit(""))
+    key = F.md5(F.concat(ident, F.lit(" "), uri, F.lit(" "), F.md5(payload)))
+    parts = [F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n"))
     return pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">")).alias("record_id"),
@@ -127,17 +141,17 @@ def write_warc(records: DataFrame, path: str, rows_per_file: int = 4000) -> None
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if version != "WARC/1.0":
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
-        at = end + 4 + int(headers["Content-Length"])
-        yield headers, data[end + 4 : at]
-        at += 4
+    """(headers, block) of each record of a gzipped file, one record at a time."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        while line := f.readline():
+            if line != b"WARC/1.0\r\n":
+                raise ValueError(f"no WARC record where one should begin: {line[:40]!r}")
+            headers = {}
+            while line := f.readline().decode().rstrip("\r\n"):
+                name, value = line.split(": ", 1)
+                headers[name] = value
+            yield headers, f.read(int(headers["Content-Length"]))
+            f.read(len(END))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +162,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in parse(gzip.decompress(content.as_py())):
+                for headers, block in parse(content.as_py()):
                     rows.append((*(headers.get(k) for k in names), headers.get("WARC-Block-Digest") == sha1(block), block.decode()))
                     if len(rows) == 1000:
                         yield table(rows)

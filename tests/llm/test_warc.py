@@ -50,6 +50,8 @@ def test_text_is_the_standard_parser_s_on_the_given_pages():
     [
         ("", ""), ("a<b", "a<b"), ("a <b>x</b>y", "a xy"), ("<p>a<br>b&amp;&eacute;", "a\nb&é"), ("<!-- x --!><p>y", ""), ("a<!-- <p> -->b", "ab"),
         ("<script>var a='</p>';</script >z", "z"), ("<SCRIPT>x", ""), ("x<style", "x<style"), ("1 < 2 <i>3</i>", "1 < 2 3"), ("<head><title>t</title></head>b", "b"), ("</>q<?php ?>r", "qr"),
+        ('<a title="x > y">hi', "hi"), ("<p title='a>b' x=\"c>'d\">e", "e"), ('<p title="oops>x</p>y', "x\ny"), ("<head><title>t</title><body><p>text", "text"), ("<head><meta x><div>d</div>", "d"),
+        ("a<svg/>b<iframe src='x'/>c", "abc"), ("<svg>hidden</svg>seen", "seen"), ("<iframe>open text", "open text"), ("<header>x</header>", "x"), ("<script src='a'/>code</script>t", "t"),
     ],
 )
 def test_text_of(page, text):
@@ -58,7 +60,7 @@ def test_text_of(page, text):
 
 def test_hostile_pages_take_linear_time():
     began = time.time()
-    for page in ("<" * 300000, "<a" * 200000 + ">", "<!--" * 100000, "<script>" * 50000, "<p>" * 200000):
+    for page in ("<a '" * 100001 + ">", "<a \">'" * 100001 + ">", "<" * 300000, "<a" * 200000 + ">", "<!--" * 100000, "<script>" * 50000, "<p>" * 200000):
         warc.text_of(page)
     assert time.time() - began < 20
 
@@ -82,3 +84,12 @@ def test_files_round_trip(spark):
     empty = shared_path(spark, "w")
     warc.write_warc(warc.derivatives(warc.responses(pages.limit(0))), empty)
     assert warc.linked(warc.read_warc(spark, empty)).count() == 0
+
+
+def test_pages_that_share_id_and_url_keep_their_own_text(spark):
+    pages = spark.createDataFrame([(1, "http://a", "<p>one"), (1, "http://a", "<p>two"), (1, "http://a", "<p>two")], "page_id long, url string, html string")
+    path = shared_path(spark, "w")
+    warc.write_warc(warc.derivatives(warc.responses(pages)), path)
+    got = warc.linked(warc.read_warc(spark, path)).collect()
+    assert sorted(r.text_sha256 for r in got) == sorted(hashlib.sha256(t).hexdigest() for t in (b"one", b"two", b"two"))
+    assert len({r.response_id for r in got}) == 2
