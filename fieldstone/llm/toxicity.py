@@ -11,8 +11,8 @@ Labels may have any number of grades. Where only a flag is known, `graded` makes
 at the median rate of the features that tell them from the others.
 
 Defined cases: a null or empty text has no features and is scored by the thresholds alone; labels that are null or
-belong to no document are ignored, and the highest label of a document holds; without labels of two grades every text
-has severity 0; rows that repeat are scored alike; an empty table gives an empty result; other columns are ignored.
+belong to no document are ignored, the highest label of a document holds, and of several texts of a labelled id the
+least by bytes is fitted; without labels of two grades every text has severity 0; rows that repeat are scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from fieldstone.shared import written
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SHORT, LONG = 4, 8
+#: Rates over 5 in 100 words count as 5, so that one word said over and over is not worth more than all others together.
 RATE_CAP = 5.0
 
 
@@ -67,45 +68,50 @@ class Model:
         return np.diff(np.concatenate([np.zeros((len(scores), 1)), upto, np.ones((len(scores), 1))], axis=1), axis=1)
 
 
+def unpack(z: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of d features, and thresholds from a start and the logarithms of their gaps."""
+    return z[:d], z[d] + np.concatenate([[0], np.cumsum(np.exp(np.clip(z[d + 1 :], -20, 20)))])
+
+
+def loss(z: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood of the grades and its gradient."""
+    d = x.shape[1]
+    w, t = unpack(z, d)
+    k, s = len(t), x @ w
+    hi, lo = np.append(t, np.inf)[grade] - s, np.concatenate([[-np.inf], t])[grade] - s
+    sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+    a, b = sig(hi), sig(lo)
+    p = np.maximum(a - b, 1e-12)
+    da, db = weight * a * (1 - a) / p, weight * b * (1 - b) / p
+    gt = np.bincount(grade, -da, k + 1)[:k] + np.bincount(grade, db, k + 1)[1:]
+    gaps = np.exp(np.clip(z[d + 1 :], -20, 20))
+    g = np.concatenate([x.T @ (da - db) + 2 * penalty * w, [gt.sum()], np.cumsum(gt[::-1])[::-1][1:] * gaps])
+    return float(-(weight * np.log(p)).sum() + penalty * w @ w), g
+
+
 def fit(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the rows x, by Nesterov's method with restarts. Thresholds are a start and positive gaps."""
-    k, (n, d) = int(grade.max()), x.shape
+    k, d = int(grade.max()), x.shape[1]
     weight = weight / weight.sum()
     share = np.clip(np.array([weight[grade <= i].sum() for i in range(k)]), 1e-6, 1 - 1e-6)
     start = np.log(share / (1 - share))
     z = np.concatenate([np.zeros(d), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))])
-
-    def unpack(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return z[:d], z[d] + np.concatenate([[0], np.cumsum(np.exp(np.clip(z[d + 1 :], -20, 20)))])
-
-    def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
-        w, t = unpack(z)
-        s = x @ w
-        hi, lo = np.append(t, np.inf)[grade] - s, np.concatenate([[-np.inf], t])[grade] - s
-        sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
-        a, b = sig(hi), sig(lo)
-        p = np.maximum(a - b, 1e-12)
-        da, db = weight * a * (1 - a) / p, weight * b * (1 - b) / p
-        gt = np.bincount(grade, -da, k + 1)[:k] + np.bincount(grade, db, k + 1)[1:]
-        gaps = np.exp(np.clip(z[d + 1 :], -20, 20))
-        gz = np.concatenate([x.T @ (da - db) + 2 * penalty * w, [gt.sum()], np.cumsum(gt[::-1])[::-1][1:] * gaps])
-        return float(-(weight * np.log(p)).sum() + penalty * w @ w), gz
-
+    f_of = lambda z: loss(z, x, grade, weight, penalty)
     y, rate, momentum = z.copy(), 1.0, 1.0
-    value = loss(z)[0]
+    value = f_of(z)[0]
     for _ in range(steps):
-        f, g = loss(y)
-        while rate > 1e-12 and loss(y - rate * g)[0] > f - 0.5 * rate * (g @ g):
+        f, g = f_of(y)
+        while rate > 1e-12 and f_of(y - rate * g)[0] > f - 0.5 * rate * (g @ g):
             rate /= 2
         following = y - rate * g
-        now = loss(following)[0]
+        now = f_of(following)[0]
         if now > value:
             y, momentum = z.copy(), 1.0
             continue
         ahead = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         y = following + (momentum - 1) / ahead * (following - z)
         z, value, momentum, rate = following, now, ahead, rate * 1.5
-    return unpack(z)
+    return unpack(z, d)
 
 
 def rank_features(rows: DataFrame, features: int, least_docs: int) -> list[tuple[bytes, float]]:
@@ -159,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int
         return Model()
     order = F.xxhash64("id", F.lit("sample"))
     chosen = known.filter("grade = 0").orderBy(order, "id").limit(sample).unionByName(known.filter("grade > 0").orderBy(order, "id").limit(sample))  # at most 2 * sample rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").withColumn("flag", (F.col("grade") > 0).cast("int"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "grade").agg(F.min("text").alias("text"))
+    rows = texts.withColumn("flag", (F.col("grade") > 0).cast("int"))
     rows = written(rows, "toxic-sample")
     ranked = rank_features(rows, features, least_docs)
     model = Model([f for f, _ in ranked])
