@@ -61,3 +61,22 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_long_texts_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, digest string, id string, hash long, copies int, key string"
+    good = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(30)]
+    rows = [(i, t, "en", "s", 1, 1, "d", "i", 5, 9, "k") for i, t in enumerate(good)]
+    rows += [(50, None, None, None, None, None, None, None, None, None, None), (None, good[3], "en", None, None, 2, "d", "i", 5, 9, "k"), (51, "", "en", "s", 0, 1, "d", "i", 5, 9, "k")]
+    rows += [(None, "a text of its own " + " ".join(f"z{k}" for k in range(60_000)), None, None, None, 3, None, None, None, None, None), rows[2], rows[2]]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == [x.split()[0] for x in schema.split(", ")]
+        found = [tuple(r) for r in seen.collect()]
+        assert set(found) <= set(rows)
+        if name == "near_dedup":
+            assert sorted((r[0] is None, r[0] or 0) for r in found) == [(False, i) for i in range(30)] + [(True, 0)]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {*range(30), None}

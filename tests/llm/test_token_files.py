@@ -78,3 +78,32 @@ def test_empty(spark):
     path = shared_path(spark, "t")
     tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert tf.with_starts(tf.checksums(spark, path), spark, path).count() == 0
+
+
+def bytes_read(spark, df):
+    """Bytes that a read of the frame takes from local files."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
+    count = lambda: sum(s.getBytesRead() for s in files.getAllStatistics() if s.getScheme() == "file")
+    before = count()
+    df.write.format("noop").mode("overwrite").save()
+    return count() - before
+
+
+def test_range_and_metadata_reads_skip_token_pages(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tf, "FORMAT", tf.FORMAT | {"parquet.block.size": str(2 << 20), "parquet.page.row.count.limit": "500"})
+    r = random.Random(5)
+    words = [f"word{k}" for k in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=200))) for i in range(8000)]
+    path = shared_path(spark, "t")
+    tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH)
+    (file,) = glob.glob(path.removeprefix("file://") + "/*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 1
+    whole = bytes_read(spark, tf.read_tokens(spark, path))
+    assert bytes_read(spark, tf.read_tokens(spark, path, tokens=False)) < 0.1 * whole
+    assert bytes_read(spark, tf.read_tokens(spark, path, 4000, 4010)) < 0.25 * whole
+    got = tf.read_tokens(spark, path, 4000, 4010).collect()
+    assert sorted(x.id for x in got) == list(range(4000, 4010))
