@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. The mixing stage repeats a document as often as it is
 taken; the last stage has a row for each of those.
+
+Defined cases: a null or empty text fails the base rules of the first stage, and so does one of under ten words; a null id
+is kept as such and its text is never a near-duplicate of another; of rows with equal ids and texts one stays; a null
+source or language is one of its own; texts of any length are used whole; an empty table gives an empty result; other
+columns of documents are carried through to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
