@@ -61,8 +61,11 @@ def _customer(spark: SparkSession, d: str) -> DataFrame:
     return vec.from_columns(_t(spark, d, "customer"), "c_custkey", "c_acctbal")
 
 
-def _embeddings(spark: SparkSession, d: str, k: int = 6) -> DataFrame:
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double")).alias("x"))
+K = 64  # components of an embedding
+
+
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
 # Vectors.
@@ -96,10 +99,19 @@ def vec_norms(spark, d):
     return _r(_r(vec.norms(_customer(spark, d)), 3, "l1", "total"), 5, "l2")
 
 
-@query("SELECT true AS finite, true AS nonzero")
+_CHECKED = "SELECT 'balance' AS what, c_acctbal AS v FROM customer UNION ALL SELECT 'gaps', CASE WHEN c_acctbal < 0 THEN 'nan'::DOUBLE ELSE c_acctbal END FROM customer UNION ALL SELECT 'nothing', 0 * c_acctbal FROM customer UNION ALL SELECT 'beyond', CASE WHEN c_custkey = 7 THEN 'inf'::DOUBLE ELSE 0 END FROM customer"
+
+
+@query(f"SELECT what, bool_and(isfinite(v)) AS finite, bool_or(v != 0) AS nonzero FROM ({_CHECKED}) GROUP BY what")
 def vec_checks(spark, d):
-    x = _customer(spark, d)
-    return vec.all_finite(x).join(vec.any_nonzero(x))
+    x, v = _customer(spark, d), F.col("v")
+    cases = {"balance": v, "gaps": F.when(v < 0, float("nan")).otherwise(v), "nothing": 0 * v, "beyond": F.when(F.col("i") == 7, float("inf")).otherwise(0.0)}
+    out = None
+    for what, value in cases.items():
+        y = x.select("i", value.alias("v"))
+        row = vec.all_finite(y).unionByName(vec.any_nonzero(y), allowMissingColumns=True).agg(F.bool_or("finite").alias("finite"), F.bool_or("nonzero").alias("nonzero")).select(F.lit(what).alias("what"), "finite", "nonzero")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # Matrices.
@@ -216,8 +228,7 @@ _IDS = "SELECT s_suppkey FROM supplier WHERE s_acctbal < 0"
 
 
 def _eliminated(spark, d, diag):
-    a = _matrix(spark, d)
-    return mx.eliminate(mx.mat_atb(mx.scatter_add(a), mx.scatter_add(a)), _t(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("i")), diag)
+    return mx.eliminate_atb(mx.scatter_add(_matrix(spark, d)), _t(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("i")), diag)
 
 
 _REST = f"SELECT i, j, v FROM ({_ATA}) WHERE i NOT IN ({_IDS}) AND j NOT IN ({_IDS})"
@@ -272,8 +283,8 @@ def td_operator_change(spark, d):
 # Multivectors and low rank.
 
 
-def _mv_sql(k: int = 6) -> str:
-    return f"SELECT vec_id AS i, u.k AS k, embedding[u.k + 1]::DOUBLE AS a FROM embeddings CROSS JOIN range({k}) u(k)"
+def _mv_sql() -> str:
+    return f"SELECT vec_id AS i, u.k AS k, embedding[u.k + 1]::DOUBLE AS a FROM embeddings CROSS JOIN range({K}) u(k)"
 
 
 @query(f"SELECT p.k::INT AS k, q.k::INT AS l, round(sum(p.a * q.a), 6) AS v FROM ({_mv_sql()}) p JOIN ({_mv_sql()}) q ON p.i = q.i GROUP BY 1, 2")
@@ -293,28 +304,31 @@ def mv_dot_v(spark, d):
 
 @query(f"SELECT i, round(sum(a * (k + 1)), 7) AS v FROM ({_mv_sql()}) GROUP BY i")
 def mv_reduce(spark, d):
-    return _r(vec.reduce(_embeddings(spark, d), range(1, 7)), 7, "v")
+    return _r(vec.reduce(_embeddings(spark, d), range(1, K + 1)), 7, "v")
 
 
 @query(f"SELECT i, round(sum(a * (k + 1)), 7) AS y0, round(sum(a * (k - 2.5)), 7) AS y1 FROM ({_mv_sql()}) GROUP BY i")
 def mv_small_mult(spark, d):
-    y = vec.small_mult(_embeddings(spark, d), [[k + 1, k - 2.5] for k in range(6)])
+    y = vec.small_mult(_embeddings(spark, d), [[k + 1, k - 2.5] for k in range(K)])
     return y.select("i", F.round(F.col("x")[0], 7).alias("y0"), F.round(F.col("x")[1], 7).alias("y1"))
 
 
-@query(f"WITH u AS ({_mv_sql()}), w AS (SELECT k, (6 - k) * sum(a * v) AS w FROM u JOIN ({_Y}) x ON u.i = x.i GROUP BY k) SELECT i, round(sum(a * w), 3) AS v FROM u JOIN w USING (k) GROUP BY i")
+_SPECTRUM = range(K, 0, -1)
+
+
+@query(f"WITH u AS ({_mv_sql()}), w AS (SELECT k, ({K} - k) * sum(a * v) AS w FROM u JOIN ({_Y}) x ON u.i = x.i GROUP BY k) SELECT i, round(sum(a * w), 0) AS v FROM u JOIN w USING (k) GROUP BY i")
 def lowrank_apply(spark, d):
-    return _r(mx.lowrank_apply(_embeddings(spark, d), [6, 5, 4, 3, 2, 1], _customer(spark, d)), 3, "v")
+    return _r(mx.lowrank_apply(_embeddings(spark, d), _SPECTRUM, _customer(spark, d)), 0, "v")
 
 
-@query(f"SELECT i, round(sum(a * a * (6 - k)), 7) AS v FROM ({_mv_sql()}) GROUP BY i")
+@query(f"SELECT i, round(sum(a * a * ({K} - k)), 7) AS v FROM ({_mv_sql()}) GROUP BY i")
 def lowrank_diag(spark, d):
-    return _r(mx.lowrank_diag(_embeddings(spark, d), [6, 5, 4, 3, 2, 1]), 7, "v")
+    return _r(mx.lowrank_diag(_embeddings(spark, d), _SPECTRUM), 7, "v")
 
 
-@query(f"SELECT round(sum(a * a * (6 - k)), 6) AS trace FROM ({_mv_sql()})")
+@query(f"SELECT round(sum(a * a * ({K} - k)), 6) AS trace FROM ({_mv_sql()})")
 def lowrank_trace(spark, d):
-    return _r(mx.lowrank_trace(_embeddings(spark, d), [6, 5, 4, 3, 2, 1]), 6, "trace")
+    return _r(mx.lowrank_trace(_embeddings(spark, d), _SPECTRUM), 6, "trace")
 
 
 # Meshes, assembly, observation.
@@ -540,7 +554,8 @@ def td_nearest_level(spark, d):
 _CHAIN = "SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k, value AS q FROM events"
 _ACF = (
     f"WITH c AS ({_CHAIN}), x AS (SELECT key, k, q - avg(q) OVER (PARTITION BY key) AS d, count(*) OVER (PARTITION BY key) AS n FROM c), "
-    "r AS (SELECT a.key, l.l AS lag, sum(a.d * b.d) / any_value(a.n) AS c FROM x a CROSS JOIN range(21) l(l) JOIN x b ON a.key = b.key AND b.k = a.k + l.l GROUP BY 1, 2), "
+    "lags AS (SELECT key, n, unnest(range(least(n - 1, greatest(10, n // 10)) + 1)) AS lag FROM (SELECT key, count(*) AS n FROM c GROUP BY key)), "
+    "r AS (SELECT l.key, l.lag, sum(a.d * b.d) / any_value(l.n) AS c FROM lags l JOIN x a ON a.key = l.key JOIN x b ON b.key = l.key AND b.k = a.k + l.lag GROUP BY 1, 2), "
     "rho AS (SELECT r.key, r.lag, r.c / z.c AS rho FROM r JOIN r z ON z.key = r.key AND z.lag = 0)"
 )
 
@@ -554,7 +569,7 @@ def _chain(spark, d):
 
 @query(f"{_ACF} SELECT key, lag, round(rho, 9) AS rho FROM rho")
 def acf_by_key(spark, d):
-    return _r(dg.autocorrelation(_chain(spark, d), 20), 9, "rho")
+    return _r(dg.autocorrelation(_chain(spark, d)), 9, "rho")
 
 
 _IACT = "i AS (SELECT key, 1 + 2 * sum(CASE WHEN ok THEN rho ELSE 0 END) AS iact FROM (SELECT *, bool_and(rho >= 0) OVER (PARTITION BY key ORDER BY lag) AS ok FROM rho WHERE lag > 0) GROUP BY key)"
@@ -562,12 +577,12 @@ _IACT = "i AS (SELECT key, 1 + 2 * sum(CASE WHEN ok THEN rho ELSE 0 END) AS iact
 
 @query(f"{_ACF}, {_IACT} SELECT key, round(iact, 8) AS iact FROM i")
 def iact_by_key(spark, d):
-    return _r(dg.iact(dg.autocorrelation(_chain(spark, d), 20)), 8, "iact")
+    return _r(dg.iact(dg.autocorrelation(_chain(spark, d))), 8, "iact")
 
 
 @query(f"{_ACF}, {_IACT} SELECT key, count(*) AS n, round(avg(q), 7) AS mean, round(stddev_samp(q), 7) AS std, round(any_value(iact), 7) AS iact, round(count(*) / any_value(iact), 5) AS ess, round(stddev_samp(q) / sqrt(count(*) / any_value(iact)), 7) AS mcse FROM c JOIN i USING (key) GROUP BY key")
 def chain_summary(spark, d):
-    return _r(_r(dg.chain_summary(_chain(spark, d), 20), 7, "mean", "std", "iact", "mcse"), 5, "ess")
+    return _r(_r(dg.chain_summary(_chain(spark, d)), 7, "mean", "std", "iact", "mcse"), 5, "ess")
 
 
 @query("SELECT event_id, round(exp(-value / 100 - m) / sum(exp(-value / 100 - m)) OVER (PARTITION BY event_type), 12) AS weight FROM (SELECT *, max(-value / 100) OVER (PARTITION BY event_type) AS m FROM events)")
@@ -763,12 +778,7 @@ def _jacobi_sql(steps: int) -> str:
 @query(_jacobi_sql(4))
 def jacobi_fixed(spark, d):
     a, b = _system(spark)
-    a = written(a, "system")
-    diag = written(mx.diagonal(a), "diagonal")
-    x = vec.pointwise_divide(b, diag)
-    for _ in range(4):
-        x = written(vec.axpy(x, 0.6, vec.pointwise_divide(vec.axpby(1.0, b, -1.0, mx.spmv(a, x)), diag)), "x")
-    return _r(x, 7, "v")
+    return _r(krylov.frame_jacobi(written(a, "system"), b, 0.6, 4), 7, "v")
 
 
 def _chebyshev_sql(lo: float, hi: float, degree: int) -> str:
@@ -787,7 +797,7 @@ def _chebyshev_sql(lo: float, hi: float, degree: int) -> str:
 @query(_chebyshev_sql(0.05, 8.0, 6))
 def chebyshev_fixed(spark, d):
     a, b = _system(spark)
-    return _r(krylov.chebyshev(krylov.frame_operator(written(a, "system")), krylov.Vec(b), 0.05, 8.0, 6).df, 6, "v")
+    return _r(krylov.frame_chebyshev(written(a, "system"), b, 0.05, 8.0, 6), 6, "v")
 
 
 @query(None)
@@ -811,16 +821,11 @@ def rand_eig(spark, d):
 
 @query(None)
 def rand_svd(spark, d):
-    """Singular values of the embeddings' first columns from one Gram aggregate."""
-    sigma, images = randomized.frame_gram_svd(_embeddings(spark, d), 6)
+    """Singular values of the embeddings from one Gram aggregate."""
+    sigma, images = randomized.frame_gram_svd(_embeddings(spark, d), K)
     return images.select("i", "x", F.array(*[F.lit(float(v)) for v in sigma]).alias("sigma"))
 
 
-@query(None)
-def philox_uniform(spark, d):
-    return philox.with_draws(spark.range(1000), "id", 42, "uniform", name="u")
-
-
 @query(None)
 def philox_normal(spark, d):
     return philox.with_draws(spark.range(1000), "id", 42, "normal", name="z")
@@ -884,3 +889,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in QUERIES.items() if s}
+
+
+# The rest of the registered queries; they use what is above.
+from fieldstone import catalogue_algebra, catalogue_cells, catalogue_frames  # noqa: E402, F401

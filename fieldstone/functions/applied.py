@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldstone.shared import written
+
 
 def kernel_lookup(x: Column, nodes: list[tuple[float, float]], width: float) -> Column:
     """A table (node, value) looked up with Gaussian kernel weights."""
@@ -28,6 +30,11 @@ def layered(r: Column, layers: list[tuple[float, list[float]]]) -> Column:
     return out
 
 
+def options(text: Column) -> Column:
+    """"theta=0.5,pmax=3" as a map."""
+    return F.str_to_map(text, F.lit(","), F.lit("="))
+
+
 def ricker(t: Column, f0: float, t0: float) -> Column:
     a = F.pow(math.pi * f0 * (t - t0), F.lit(2.0))
     return (1 - 2 * a) * F.exp(-a)
@@ -88,20 +95,39 @@ def field_statistics(chain: DataFrame) -> DataFrame:
     return chain.groupBy("i").agg(F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with `name`, each row's place (from 0) in the order of columns that tell rows apart.
+
+    Rows are dealt by range, numbered inside their part and shifted by the rows of the parts before it, so no task sorts
+    them all; only the counts of the parts meet in one place.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_seq", 33)), "ranked")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))  # a row per part
+    return placed.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_seq", "_first")
+
+
 def unique_inverse(df: DataFrame, key: str) -> DataFrame:
     """df with `inverse`, the rank of its key among the distinct keys: ranked once per distinct key and joined back."""
-    from pyspark.sql import Window
+    return df.join(ranked(df.select(key).distinct(), [key], "inverse"), key)
+
+
+def unique_inverse_rows(pairs: DataFrame) -> DataFrame:
+    """pairs (i, j) with `inverse`, the rank of each among the distinct pairs."""
+    return pairs.join(ranked(pairs.select("i", "j").distinct(), ["i", "j"], "inverse"), ["i", "j"])
+
 
-    ranks = df.select(key).distinct().withColumn("inverse", F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
-    return df.join(ranks, key)
+def argsort(df: DataFrame, key: str, index: str) -> DataFrame:
+    """(place, index): the stable order of the rows by key."""
+    return ranked(df.select(key, index), [key, index], "place").select("place", index)
 
 
 def first_touch(df: DataFrame, key: str, order: str) -> DataFrame:
     """(key, number): distinct keys numbered by their first occurrence in `order`."""
-    from pyspark.sql import Window
-
     first = df.groupBy(key).agg(F.min(order).alias("at"))
-    return first.select(key, (F.row_number().over(Window.orderBy("at", key)).cast("bigint") - 1).alias("number"))
+    return ranked(first, ["at", key], "number").select(key, "number")
 
 
 def stencil(field: DataFrame, weights: dict[tuple[int, int], float]) -> DataFrame:
@@ -130,3 +156,77 @@ def resample(series: DataFrame, times: DataFrame, dt: float) -> DataFrame:
     s = F.col("s")
     weight = F.when(F.col("k") == -1, -s * (s - 1) * (s - 2) / 6).when(F.col("k") == 0, (s + 1) * (s - 1) * (s - 2) / 2).when(F.col("k") == 1, -(s + 1) * s * (s - 2) / 2).otherwise((s + 1) * s * (s - 1) / 6)
     return near.join(series, "n").groupBy("t").agg(F.sum(weight * F.col("v")).alias("v"), F.count(F.lit(1)).alias("c")).filter("c = 4").select("t", "v")
+
+
+# Impulse responses and lattices.
+
+
+def comb_products(h: DataFrame, color: DataFrame) -> DataFrame:
+    """(i, color, v): a sparse operator (i, j, v) on combs, the sums of unit vectors of one color; color: (j, color)."""
+    return h.join(color, "j").groupBy("i", "color").agg(F.sum("v").alias("v"))
+
+
+def impulse_windows(responses: DataFrame, samples: DataFrame, reach: int) -> DataFrame:
+    """(k, a, b, v): the part of its comb's response (color, x, y, v) that lies within `reach` of each sample (k, color, px, py)."""
+    a, b = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    both = responses.join(samples, "color").filter((F.abs(a) <= reach) & (F.abs(b) <= reach))
+    return both.select("k", a.alias("a"), b.alias("b"), "v")
+
+
+def _phase(m: int) -> Column:
+    return F.cos(2 * math.pi / m * (F.col("f") * F.col("a") + F.col("g") * F.col("b")))
+
+
+def _with_frequencies(rows: DataFrame, m: int) -> DataFrame:
+    every = lambda: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    return rows.withColumn("f", every()).withColumn("g", every())
+
+
+def kernel_symbol(kernels: DataFrame, m: int) -> DataFrame:
+    """(k, f, g, s): the real Fourier symbol of centred kernels (k, a, b, w) on an m x m torus."""
+    return _with_frequencies(kernels, m).groupBy("k", "f", "g").agg(F.sum(F.col("w") * _phase(m)).alias("s"))
+
+
+def sqrt_kernels(kernels: DataFrame, m: int, reach: int) -> DataFrame:
+    """(k, a, b, w): kernels whose symbol is the square root of that of `kernels` (negative parts as zero), cut at `reach`."""
+    root = kernel_symbol(kernels, m).select("k", "f", "g", F.sqrt(F.greatest("s", F.lit(0.0))).alias("r"))
+    around = lambda: F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    rows = root.withColumn("a", around()).withColumn("b", around())
+    return rows.groupBy("k", "a", "b").agg((F.sum(F.col("r") * _phase(m)) / m**2).alias("w"))
+
+
+def blended_convolution(field: DataFrame, kernels: DataFrame, weights: DataFrame) -> DataFrame:
+    """(x, y, v): sum over k of weight k at the point times the field convolved with kernel k.
+
+    kernels (k, a, b, w) are a small table; weights (k, x, y, g) say where each holds.
+    """
+    moved = field.crossJoin(F.broadcast(kernels)).select("k", (F.col("x") + F.col("a")).alias("x"), (F.col("y") + F.col("b")).alias("y"), (F.col("v") * F.col("w")).alias("v"))  # kernels x field rows: a stencil
+    sums = moved.groupBy("k", "x", "y").agg(F.sum("v").alias("v"))
+    return sums.join(weights, ["k", "x", "y"]).groupBy("x", "y").agg(F.sum(F.col("g") * F.col("v")).alias("v"))
+
+
+def halo_rows(field: DataFrame, side: int, width: int) -> DataFrame:
+    """(bx, by, x, y, v, own): each lattice row in its block of side x side points and in the blocks that it is a halo of."""
+    block = lambda c: F.floor(F.col(c) / side)
+    near = lambda c: F.array_distinct(F.array(block(c), F.floor((F.col(c) - width) / side), F.floor((F.col(c) + width) / side)))
+    rows = field.select("x", "y", "v", F.explode(near("x")).alias("bx"), near("y").alias("_by")).withColumn("by", F.explode("_by")).drop("_by")
+    known = field.select(block("x").alias("bx"), block("y").alias("by")).distinct()
+    return rows.join(known, ["bx", "by"]).select("bx", "by", "x", "y", "v", ((block("x") == F.col("bx")) & (block("y") == F.col("by"))).alias("own"))
+
+
+def bilaplacian_stencil(h: float, gamma: float, delta: float) -> list[tuple[int, int, int, float]]:
+    """(a, b, c, weight) of the 27 points of (gamma K + delta M) over the lumped mass of trilinear cells of side h."""
+    mass, stiff = {-1: 1 / 6, 0: 4 / 6, 1: 1 / 6}, {-1: -1.0 / h**2, 0: 2.0 / h**2, 1: -1.0 / h**2}
+    out = []
+    for a in (-1, 0, 1):
+        for b in (-1, 0, 1):
+            for c in (-1, 0, 1):
+                k = stiff[a] * mass[b] * mass[c] + mass[a] * stiff[b] * mass[c] + mass[a] * mass[b] * stiff[c]
+                out.append((a, b, c, gamma * k + delta * mass[a] * mass[b] * mass[c]))
+    return out
+
+
+def mollifier(x: Column, y: Column, locations: list[tuple[float, float]], width: float) -> Column:
+    """Sum of Gaussian bumps of one width around a list of points."""
+    bump = lambda p: F.exp(-((x - p[0]) * (x - p[0]) + (y - p[1]) * (y - p[1])) / (width * width))
+    return sum((bump(p) for p in locations), F.lit(0.0))

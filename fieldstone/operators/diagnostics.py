@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def autocorrelation(chain: DataFrame, max_lag: int) -> DataFrame:
-    """(key, lag, rho) of chain (key, k, q), k = 0, 1, ... per key: normalised by n, not n - lag; 0 for a constant chain.
+#: Rows of a chain that one group takes at least.
+BLOCK = 4096
 
-    A range join on (key, k + lag); each row meets at most max_lag others.
+
+def lag_limit(n: Column, max_lag: int | None = None) -> Column:
+    """The largest lag of a chain of n: max_lag, or a tenth of the chain and 10 at least, below n."""
+    return F.greatest(F.lit(0), F.least(n - 1, F.greatest(F.lit(10), F.floor(n / 10))) if max_lag is None else F.lit(max_lag)).cast("bigint")
+
+
+def autocorrelation(chain: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(key, lag, rho) of chain (key, k, q), k = 0, 1, ... per key: normalised by n, not n - lag; 0 for a constant chain and
+    from lag n on. Without max_lag, each chain has lags up to lag_limit().
+
+    Chains are cut into blocks of at least as many rows as there are lags; a block gets the rows after it too, so each row
+    moves twice and a long chain is spread over tasks. Blocks give their sums for all lags.
     """
-    stats = chain.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean"))
-    x = chain.join(stats, "key").select("key", "k", "n", (F.col("q") - F.col("mean")).alias("d"))
-    left = x.select("key", "n", F.col("d").alias("a"), F.posexplode(F.sequence(F.col("k"), F.col("k") + max_lag)).alias("lag", "k"))
-    right = x.select("key", "k", F.col("d").alias("b"))
-    sums = left.join(right, ["key", "k"]).groupBy("key", "lag").agg((F.sum(F.col("a") * F.col("b")) / F.first("n")).alias("c"))
-    zero = sums.filter("lag = 0").select("key", F.col("c").alias("c0"))
-    return sums.join(zero, "key").select("key", F.col("lag").cast("bigint").alias("lag"), F.when(F.col("c0") > 0, F.col("c") / F.col("c0")).otherwise(0.0).alias("rho"))
+    stats = chain.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean")).withColumn("lags", lag_limit(F.col("n"), max_lag))
+    x = chain.join(stats, "key").withColumn("size", F.greatest(F.lit(BLOCK).cast("bigint"), F.col("lags")))
+    block = F.floor(F.col("k") / F.col("size"))
+    both = F.when((F.col("k") % F.col("size") < F.col("lags")) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    rows = x.select("key", F.explode(both).alias("block"), "k", "lags", "size", (F.col("q") - F.col("mean")).alias("d"))
+    kind = chain.select("key").schema[0].dataType
+
+    def sums(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        k, d, lags = t["k"].to_numpy(), t["d"].to_numpy(), t["lags"][0].as_py()
+        own = int(np.searchsorted(k, (t["block"][0].as_py() + 1) * t["size"][0].as_py()))
+        out = [float(d[: min(own, len(d) - lag)] @ d[lag : lag + min(own, len(d) - lag)]) if lag < len(d) else 0.0 for lag in range(lags + 1)]
+        return pa.table({"key": pa.array([t["key"][0].as_py()] * (lags + 1), t.schema.field("key").type), "lag": pa.array(range(lags + 1), pa.int64()), "s": out})
+
+    parts = rows.groupBy("key", "block").applyInArrow(sums, f"key {kind.simpleString()}, lag long, s double")
+    c = parts.groupBy("key", "lag").agg(F.sum("s").alias("c"))
+    zero = c.filter("lag = 0").select("key", F.col("c").alias("c0"))
+    return c.join(zero, "key").select("key", "lag", F.when(F.col("c0") > 0, F.col("c") / F.col("c0")).otherwise(0.0).alias("rho"))
 
 
 def iact(rho: DataFrame) -> DataFrame:
     """(key, iact): 1 + 2 sum of rho up to the first negative one."""
-    positive = rho.filter("lag > 0")
     seen = Window.partitionBy("key").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
-    kept = positive.withColumn("ok", F.min((F.col("rho") >= 0).cast("int")).over(seen))
-    return kept.groupBy("key").agg((1 + 2 * F.sum(F.when(F.col("ok") == 1, F.col("rho")).otherwise(0.0))).alias("iact"))
+    kept = rho.withColumn("ok", F.min((F.col("rho") >= 0).cast("int")).over(seen))
+    return kept.groupBy("key").agg((1 + 2 * F.sum(F.when((F.col("ok") == 1) & (F.col("lag") > 0), F.col("rho")).otherwise(0.0))).alias("iact"))
 
 
-def chain_summary(chain: DataFrame, max_lag: int) -> DataFrame:
-    """(key, n, mean, std, iact, ess, mcse)."""
+def chain_summary(chain: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(key, n, mean, std, iact, ess, mcse); std and mcse of a chain of one sample are null."""
     stats = chain.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean"), F.stddev_samp("q").alias("std"))
     out = stats.join(iact(autocorrelation(chain, max_lag)), "key").withColumn("ess", F.col("n") / F.col("iact"))
     return out.withColumn("mcse", F.col("std") / F.sqrt("ess"))

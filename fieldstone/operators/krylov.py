@@ -45,10 +45,7 @@ class Vec:
         return vec.inner(self.df, y.df).first()[0]
 
     def to_numpy(self, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for r in self.df.collect():
-            out[r["i"]] = r["v"]
-        return out
+        return vec.gather(self.df, n)
 
 
 def dot(x, y) -> float:
@@ -322,6 +319,36 @@ def frame_cg(a: DataFrame, b: DataFrame, rel: float = 1e-8, max_iter: int = 1000
     raise NotConverged(f"residual {math.sqrt(max(rr, 0.0)):g} after {max_iter} iterations")
 
 
+def frame_chebyshev(a: DataFrame, b: DataFrame, lo: float, hi: float, degree: int) -> DataFrame:
+    """chebyshev() with all vectors as columns of one frame: a step is one product and one join."""
+    theta, delta = (hi + lo) / 2, (hi - lo) / 2
+    sigma, rho = theta / delta, delta / theta
+    first = F.col("v") / F.lit(theta)
+    state = b.select("i", F.col("v").alias("r"), first.alias("d"), first.alias("x"))
+    for k in range(degree - 1):
+        fresh = 1 / (2 * sigma - rho)
+        product = mx.spmv(a, state.select("i", F.col("d").alias("v"))).withColumnRenamed("v", "ad")
+        r = F.col("r") - F.coalesce("ad", F.lit(0.0))
+        d = F.col("d") * F.lit(fresh * rho) + r * F.lit(2 * fresh / delta)
+        state, rho = state.join(product, "i", "left").select("i", r.alias("r"), d.alias("d"), (F.col("x") + d).alias("x")), fresh
+        if k % 3 == 2:
+            state = written(state, "chebyshev")
+    return state.select("i", F.col("x").alias("v"))
+
+
+def frame_jacobi(a: DataFrame, b: DataFrame, weight: float, sweeps: int) -> DataFrame:
+    """Damped Jacobi sweeps from D^-1 b: a sweep is one product and one join."""
+    d = mx.diagonal(a).withColumnRenamed("v", "d")
+    state = b.join(d, "i").select("i", F.col("v").alias("b"), "d", (F.col("v") / F.col("d")).alias("x"))
+    for k in range(sweeps):
+        product = mx.spmv(a, state.select("i", F.col("x").alias("v"))).withColumnRenamed("v", "ax")
+        x = F.col("x") + F.lit(weight) * (F.col("b") - F.coalesce("ax", F.lit(0.0))) / F.col("d")
+        state = state.join(product, "i", "left").select("i", "b", "d", x.alias("x"))
+        if k % 3 == 2:
+            state = written(state, "jacobi")
+    return state.select("i", F.col("x").alias("v"))
+
+
 def to_dense(a: DataFrame, n: int, limit: int = 5000) -> np.ndarray:
     """A frame matrix on the driver; refused above `limit` rows."""
     if n > limit:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldstone.operators.vector import contract
+from fieldstone.operators.vector import contract, owner
 
 
 def scatter_add(entries: DataFrame) -> DataFrame:
@@ -51,6 +51,11 @@ def spmm(a: DataFrame, x: DataFrame, nvec: int) -> DataFrame:
     return both.groupBy("i").agg(F.array(*sums).alias("x"))
 
 
+def spmm_transpose(a: DataFrame, x: DataFrame, nvec: int) -> DataFrame:
+    """A^T X."""
+    return spmm(transpose(a), x, nvec)
+
+
 def spmv_levels(a: DataFrame, x: DataFrame) -> DataFrame:
     """A applied at every level of a trajectory."""
     return a.join(x.select("k", F.col("i").alias("j"), F.col("v").alias("w")), "j").groupBy("k", "i").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
@@ -72,6 +77,11 @@ def mat_atb(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "r").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def matmul3(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
+    """A B C, from the left."""
+    return matmul(matmul(a, b), c)
+
+
 def ptap(a: DataFrame, p: DataFrame) -> DataFrame:
     return mat_atb(p, matmul(a, p))
 
@@ -165,6 +175,62 @@ def eliminate(entries: DataFrame, ess: DataFrame, diag: str = "one") -> DataFram
     return scatter_add(kept)
 
 
+def eliminate_atb(a: DataFrame, ess: DataFrame, diag: str = "one") -> DataFrame:
+    """A^T A with essential indices taken out: their columns of A leave before the join, so their products never form."""
+    ids = ess.select("i").distinct()
+    of = lambda how: a.join(ids.select(F.col("i").alias("j")), "j", how).select("i", "j", "v")
+    kept = of("left_anti")
+    rest = mat_atb(kept, kept)
+    if diag == "one":
+        return rest.unionByName(ids.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")))
+    if diag == "keep":
+        own = of("left_semi").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("v") * F.col("v")).alias("v"))
+        return rest.unionByName(own.select("i", F.col("i").alias("j"), "v"))
+    return rest
+
+
+def plan_block(pairs: DataFrame, ess: DataFrame) -> DataFrame:
+    """What an assembly needs beside its values: pairs (e, a, b, i, j) with `masked`, true in an essential row or column."""
+    ids = ess.select("i").distinct()
+    rows = pairs.select("e", "a", "b", "i", "j").join(ids.withColumn("r", F.lit(True)), "i", "left").join(ids.select(F.col("i").alias("j"), F.lit(True).alias("c")), "j", "left")
+    return rows.select("e", "a", "b", "i", "j", (F.col("r").isNotNull() | F.col("c").isNotNull()).alias("masked"))
+
+
+def finish_block(plan: DataFrame, values: DataFrame) -> DataFrame:
+    """The matrix of element values (e, a, b, v) under a plan; masked slots stay, as zeros."""
+    return plan.join(values, ["e", "a", "b"]).groupBy("i", "j").agg(F.sum(F.when(F.col("masked"), 0.0).otherwise(F.col("v"))).alias("v"))
+
+
+def pattern_of_tables(rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """(i, j) that meet in an element, from two dof tables (e, i)."""
+    return rows.select("e", "i").join(cols.select("e", F.col("i").alias("j")), "e").select("i", "j").distinct()
+
+
+def relabelled(graph: DataFrame, true_of: DataFrame) -> DataFrame:
+    """A graph (i, j) of local dofs as one of true dofs, true_of (local, i)."""
+    rows = graph.join(true_of.select(F.col("local").alias("i"), F.col("i").alias("r")), "i").join(true_of.select(F.col("local").alias("j"), F.col("i").alias("c")), "j")
+    return rows.select(F.col("r").alias("i"), F.col("c").alias("j")).distinct()
+
+
+def to_rows(a: DataFrame) -> DataFrame:
+    """(i, cols, vals): compressed rows, columns ascending."""
+    return a.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r")).select("i", F.transform("r", lambda s: s["j"]).alias("cols"), F.transform("r", lambda s: s["v"]).alias("vals"))
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("i", F.explode(F.arrays_zip("cols", "vals")).alias("r")).select("i", F.col("r.cols").alias("j"), F.col("r.vals").alias("v"))
+
+
+def single(a: DataFrame) -> DataFrame:
+    """The matrix in single precision."""
+    return a.select("i", "j", F.col("v").cast("float").alias("v"))
+
+
+def block_diagonal(a: DataFrame, n: int, parts: int) -> DataFrame:
+    """The entries whose row and column have the same owner."""
+    return a.filter(owner(F.col("i"), n, parts) == owner(F.col("j"), n, parts))
+
+
 def apply_essential(v: DataFrame, ess: DataFrame) -> DataFrame:
     """v with the entries of ess (i, value) overwritten."""
     return v.join(ess, "i", "left").select("i", F.coalesce("value", "v").alias("v"))
@@ -174,6 +240,16 @@ def zero_essential(v: DataFrame, ess: DataFrame) -> DataFrame:
     return apply_essential(v, ess.select("i", F.lit(0.0).alias("value")))
 
 
+def homogeneous(ess: DataFrame) -> DataFrame:
+    """The same essential set with zero values."""
+    return ess.select("i", F.lit(0.0).alias("value"))
+
+
+def essential_where(vertices: DataFrame, where: Column, value: Column | float = 0.0) -> DataFrame:
+    """(i, value) of the vertices (vid, x, y) for which a predicate of the coordinates holds."""
+    return vertices.filter(where).select(F.col("vid").alias("i"), (value if isinstance(value, Column) else F.lit(float(value))).alias("value"))
+
+
 def union_conditions(*conditions: DataFrame) -> DataFrame:
     """Essential sets acting as one; of equal indices the last condition holds."""
     out = None
@@ -206,5 +282,9 @@ def lowrank_diag(u: DataFrame, d) -> DataFrame:
     return u.select("i", contract(F.transform("x", lambda a: a * a), _scaled(d)).alias("v"))
 
 
-def lowrank_trace(u: DataFrame, d) -> DataFrame:
-    return lowrank_diag(u, d).agg(F.sum("v").alias("trace"))
+def lowrank_trace(u: DataFrame, d, w: DataFrame | None = None) -> DataFrame:
+    """tr(U diag(d) U^T W); W is the identity if none is given."""
+    if w is None:
+        return lowrank_diag(u, d).agg(F.sum("v").alias("trace"))
+    both = spmm(w, u, len(d)).select("i", F.col("x").alias("y")).join(u, "i")
+    return both.agg(F.sum(contract(F.zip_with("x", "y", lambda p, q: p * q), _scaled(d))).alias("trace"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldstone.functions.applied import ranked
+from fieldstone.operators import matrix as mx
+from fieldstone.operators import vector as vec
+
 
 def _variance(noise_variance: float | None) -> float:
     if noise_variance is None:
@@ -71,3 +75,37 @@ def quadratic_qoi(wu: DataFrame, u: DataFrame) -> DataFrame:
 def weighted_mean_qoi(weights: DataFrame, u: DataFrame) -> DataFrame:
     """(w^T u) / (w^T 1)."""
     return weights.withColumnRenamed("v", "w").join(u, "i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("q"))
+
+
+def weighted_l2_cost(w: DataFrame, u: DataFrame, d: DataFrame, noise_variance: float | None) -> DataFrame:
+    """(u - d)^T W (u - d) / (2 s^2): W a mass matrix of the domain, of part of it or of a boundary."""
+    r = vec.axpy(u, -1.0, d)
+    return vec.inner(mx.spmv(w, r), r).select((F.col("inner") / (2 * _variance(noise_variance))).alias("cost"))
+
+
+def per_level(x: DataFrame, data: DataFrame, noise_variance: float | None) -> DataFrame:
+    """(k, cost) of a trajectory (k, i, v) at the levels that have data (k, i, d); the others are not observed."""
+    r = F.col("v") - F.col("d")
+    return x.join(data, ["k", "i"]).groupBy("k").agg((F.sum(r * r) / (2 * _variance(noise_variance))).alias("cost"))
+
+
+def line_of_sight(b: DataFrame, directions: DataFrame, components: int) -> DataFrame:
+    """Rows of a point-evaluation operator for the component of a vector field along each point's direction (i, w).
+
+    Dofs of the field are components * j + c.
+    """
+    rows = b.join(directions, "i").select("i", "j", "v", F.posexplode("w").alias("c", "w"))
+    return rows.select("i", (components * F.col("j") + F.col("c")).alias("j"), (F.col("v") * F.col("w")).alias("v"))
+
+
+def gather_observations(obs: DataFrame, target: str, limit: int = vec.DRIVER_ENTRIES) -> list[float]:
+    """Values (target, v) in target order on the driver; refused above `limit`."""
+    if (n := obs.count()) > limit:
+        raise ValueError(f"{n} values are more than {limit}")
+    return obs.sort(target).select("v").toArrow()["v"].to_pylist()
+
+
+def scatter_observations(values: list[float], targets: DataFrame) -> DataFrame:
+    """(target, v): values in target order on the targets of a frame with one column."""
+    (name,) = targets.columns
+    return ranked(targets, [name], "i").join(vec.from_array(targets.sparkSession, values), "i").select(name, "v")

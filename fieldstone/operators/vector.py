@@ -5,14 +5,63 @@ A missing entry is zero; entries are unique by index. Results with one row hold
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Entries of a vector that may be sent to the driver or to every executor (8 bytes each).
+DRIVER_ENTRIES = 4_000_000
+
 
 def from_columns(df: DataFrame, index: str, value: str | Column) -> DataFrame:
     return df.select(F.col(index).cast("bigint").alias("i"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("v"))
 
 
+def from_array(spark: SparkSession, a: Sequence[float]) -> DataFrame:
+    """A vector of a driver array."""
+    values = np.asarray(a, float)
+    return spark.createDataFrame(pa.table({"i": np.arange(len(values)), "v": values}))
+
+
+def as_vector(spark: SparkSession, x) -> DataFrame:
+    """A frame (i, v) as it is, or a vector of an array."""
+    return x.select("i", "v") if isinstance(x, DataFrame) else from_array(spark, x)
+
+
+def gather(x: DataFrame, n: int, limit: int = DRIVER_ENTRIES) -> np.ndarray:
+    """The whole vector on the driver; refused above `limit` entries."""
+    if n > limit:
+        raise ValueError(f"{n} entries are more than {limit}")
+    out = np.zeros(n)
+    t = x.select("i", "v").toArrow()
+    out[t["i"].to_numpy()] = t["v"].to_numpy()
+    return out
+
+
+def allgather(x: DataFrame, limit: int = DRIVER_ENTRIES) -> DataFrame:
+    """The vector with a hint that sends it to every executor, if it has at most `limit` entries."""
+    return F.broadcast(x) if x.count() <= limit else x
+
+
+def partition(sizes: DataFrame) -> DataFrame:
+    """(rank, first, size): contiguous owner ranges from local sizes (rank, size), one row per rank."""
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("rank", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"), "size")
+
+
+def owner(i: Column, n: int, parts: int) -> Column:
+    """Which of `parts` contiguous ranges of 0..n-1 an index lies in."""
+    return F.floor(i * parts / n).cast("int")
+
+
+def layout(x: DataFrame, n: int, parts: int) -> DataFrame:
+    """(rank, first, last, size) of the stored entries by owner."""
+    return x.groupBy(owner(F.col("i"), n, parts).alias("rank")).agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("size"))
+
+
 def constant(x: DataFrame, alpha: float = 0.0) -> DataFrame:
     """A vector on the indices of x with one value everywhere."""
     return x.select("i", F.lit(float(alpha)).alias("v"))
@@ -71,17 +120,28 @@ def any_nonzero(x: DataFrame) -> DataFrame:
 # Multivectors: all columns of a row in one array.
 
 
+def _products(rows: DataFrame) -> DataFrame:
+    """(k, l, v): the matrix X^T Y of rows (x, y): one small product per Arrow batch, then the sum of those."""
+
+    def run(batches):
+        stack = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        for b in batches:
+            if b.num_rows:
+                part = stack(b.column(0)).T @ stack(b.column(1))
+                k, l = np.indices(part.shape, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(l.ravel()), pa.array(part.ravel())], ["k", "l", "v"])
+
+    return rows.mapInArrow(run, "k int, l int, v double").groupBy("k", "l").agg(F.sum("v").alias("v"))
+
+
 def dot_mv(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(k, l, v): the matrix X^T Y. Partial sums are formed before the exchange, so only its entries move."""
-    both = x.join(y.withColumnRenamed("x", "y"), "i")
-    left = both.select(F.posexplode("x").alias("k", "a"), "y")
-    return left.select("k", "a", F.posexplode("y").alias("l", "b")).groupBy("k", "l").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    """(k, l, v): the matrix X^T Y."""
+    return _products(x.join(y.withColumnRenamed("x", "y"), "i").select("x", "y"))
 
 
 def gram(x: DataFrame) -> DataFrame:
     """X^T X without a join."""
-    left = x.select(F.posexplode("x").alias("k", "a"), "x")
-    return left.select("k", "a", F.posexplode("x").alias("l", "b")).groupBy("k", "l").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    return _products(x.select("x", F.col("x").alias("y")))
 
 
 def dot_v(x: DataFrame, v: DataFrame) -> DataFrame:
@@ -107,6 +167,35 @@ def reduce(x: DataFrame, a) -> DataFrame:
     return x.select("i", contract(F.col("x"), _numbers(a)).alias("v"))
 
 
+def mv_zero(v: DataFrame, columns: int) -> DataFrame:
+    """A multivector of zero columns on the indices of v."""
+    return v.select("i", F.array_repeat(F.lit(0.0), columns).alias("x"))
+
+
+def mv_from_array(spark: SparkSession, a) -> DataFrame:
+    """A multivector of a driver array (rows, columns)."""
+    values = np.asarray(a, float)
+    return spark.createDataFrame(pa.table({"i": np.arange(len(values)), "x": pa.array(list(values))}))
+
+
+def mv_columns(x: DataFrame, rank: int, ranks: int) -> DataFrame:
+    """The columns that a rank of an ensemble owns: every `ranks`-th, from its own number on."""
+    return x.select("i", F.filter("x", lambda _, k: k % ranks == rank).alias("x"))
+
+
+def mv_exchange(parts: list[DataFrame]) -> DataFrame:
+    """The multivector whose columns were dealt out by mv_columns()."""
+    out = parts[0].withColumnRenamed("x", "p0")
+    for r, p in enumerate(parts[1:], 1):
+        out = out.join(p.withColumnRenamed("x", f"p{r}"), "i")
+    n = F.size("p0")
+    for r in range(1, len(parts)):
+        n = n + F.size(f"p{r}")
+    lists = F.array(*[F.col(f"p{r}") for r in range(len(parts))])
+    at = lambda k: F.element_at(F.element_at(lists, (k % len(parts) + 1).cast("int")), (F.floor(k / len(parts)) + 1).cast("int"))
+    return out.select("i", F.when(n == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("x"))
+
+
 def mv_scale(x: DataFrame, a) -> DataFrame:
     return x.select("i", F.zip_with("x", _numbers(a), lambda p, q: p * q).alias("x"))
 

@@ -97,6 +97,25 @@ def boundary_mass(space: Space) -> np.ndarray:
     return scatter((space.dim,) * 2, edges, edges, local)
 
 
+def boundary_edges(mesh: Square, *attributes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(element, edge in it) of the boundary edges on sides 1 bottom, 2 right, 3 top, 4 left."""
+    n = mesh.n
+    c = np.arange(n)
+    sides = {1: (2 * c, 0), 2: (2 * (c * n + n - 1), 1), 3: (2 * (n * (n - 1) + c) + 1, 1), 4: (2 * c * n + 1, 2)}
+    found = [(sides[a][0], np.full(n, sides[a][1])) for a in attributes]
+    return np.concatenate([e for e, _ in found]), np.concatenate([k for _, k in found])
+
+
+def facets(mesh: Square) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minus, plus, edge in minus, edge in plus) of the interior facets; minus is the smaller element."""
+    t = mesh.triangles
+    ends = np.sort(np.stack([t, np.roll(t, -1, axis=1)], axis=2).reshape(-1, 2), axis=1)
+    order = np.lexsort((np.arange(len(ends)), ends[:, 1], ends[:, 0]))
+    same = np.flatnonzero((ends[order[1:]] == ends[order[:-1]]).all(axis=1))
+    a, b = order[same], order[same + 1]
+    return a // 3, b // 3, a % 3, b % 3
+
+
 # Assembly over frames: elements (e, x: six coordinates, d0, d1, ...: dofs of each slot).
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +12,5 @@ def levels(stream: DataFrame, step: str = "1 hour", late: str = "2 hours") -> Da
 
 
 def running_moments(stream: DataFrame) -> DataFrame:
-    """(i, n, mean, var) of each index of a stream (i, v) as it stands after every batch, by Welford updates."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for batch in batches:
-            for v in batch["v"]:
-                n += 1
-                d = v - mean
-                mean += d / n
-                m2 += d * (v - mean)
-        state.update((n, mean, m2))
-        yield pd.DataFrame({"i": [key[0]], "n": [n], "mean": [mean], "var": [m2 / (n - 1) if n > 1 else float("nan")]})
-
-    return stream.groupBy("i").applyInPandasWithState(update, "i long, n long, mean double, var double", "n long, mean double, m2 double", "update", "NoTimeout")
+    """(i, n, mean, var) of each index of a stream (i, v) as it stands after every batch; var is null after one value."""
+    return stream.groupBy("i").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
