@@ -98,6 +98,20 @@ def cg(a, b, precond=lambda r: r, rel: float = 1e-12, absolute: float = 1e-20, m
     raise NotConverged(f"residual {res:g} after {max_iter} iterations")
 
 
+def refined(a, solve, b, rel: float = 1e-12, most: int = 10) -> Solution:
+    """Iterative refinement of an inexact solver against the true residual; raises if it stops helping short of `rel`."""
+    x, r, size = solve(b), None, math.inf
+    tol = rel * norm(b)
+    for k in range(most + 1):
+        r = b - a(x)
+        if (now := norm(r)) <= tol:
+            return Solution(x, k, now)
+        if now > 0.5 * size:
+            break
+        x, size = x + solve(r), now
+    raise NotConverged(f"residual {norm(r):g} after refinement")
+
+
 def bicgstab(a, b, precond=lambda r: r, rel: float = 1e-12, absolute: float = 1e-20, max_iter: int = 1000) -> Solution:
     x, r = b * 0.0, b
     tol, shadow = max(rel * norm(b), absolute), b

@@ -109,14 +109,33 @@ class Importance(GPCN):
         return ahead, True
 
 
-def run_chain(kernel, m0: np.ndarray, qoi: Callable[[np.ndarray, np.ndarray], float], rng: Random, samples: int = 2000, burn_in: int = 1000) -> pd.DataFrame:
-    """(k, q, accepted, logw) of one chain; a rejected proposal records the state again."""
+class FullTracer:
+    """Keeps the parameter and the state of every recorded step."""
+
+    def __init__(self):
+        self.m: list[np.ndarray] = []
+        self.u: list[np.ndarray] = []
+
+    def __call__(self, now: Sample) -> None:
+        self.m.append(now.m)
+        self.u.append(now.u)
+
+
+def consume_random(kernel, rng: Random, dim: int, steps: int) -> None:
+    """Advance a stream as a chain of so many steps would: a draw of the noise and, but for independent draws, a uniform number each."""
+    rng.advance(steps * (dim + (0 if isinstance(kernel, Importance) else 1)))
+
+
+def run_chain(kernel, m0: np.ndarray, qoi: Callable[[np.ndarray, np.ndarray], float], rng: Random, samples: int = 2000, burn_in: int = 1000, tracer: Callable[[Sample], None] | None = None) -> pd.DataFrame:
+    """(k, q, accepted, logw) of one chain; a rejected proposal records the state again. tracer is called with each."""
     now = kernel.start(m0)
     rows = []
     for k in range(-burn_in, samples):
         now, accepted = kernel.step(now, rng)
         if k >= 0:
             rows.append((k, float(qoi(now.u, now.m)), accepted, now.log_weight))
+            if tracer is not None:
+                tracer(now)
     return pd.DataFrame(rows, columns=["k", "q", "accepted", "logw"])
 
 
