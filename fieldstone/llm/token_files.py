@@ -61,15 +61,19 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFram
     return map_batches(docs.select("id", "part", "seq", "text"), make, "id long, part int, seq long, n_tokens long, tokens array<int>", "text", 8 << 20)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20) -> None:
-    """Encode all texts and write them to `path` in ascending id order, in parts of about `part_bytes` of text."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20, most_parts: int = 20_000, file_rows: int = 200_000) -> None:
+    """Encode all texts and write them to `path` in ascending id order, in parts of about `part_bytes` of text.
+
+    There are at most `most_parts` parts, which grow with the input beyond that; a part is written as files of at most
+    `file_rows` documents.
+    """
     ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     total = ordered.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // part_bytes))
+    parts = min(most_parts, max(1, -(-total // part_bytes)))
     keys = ["id", F.octet_length("text"), "row"]
     placed = ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     numbered = placed.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "text")
-    encoded(numbered, tokenizer, end_id).write.options(**FORMAT).parquet(path)
+    encoded(numbered, tokenizer, end_id).write.options(**FORMAT).option("maxRecordsPerFile", file_rows).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, tokens: bool = True) -> DataFrame:
