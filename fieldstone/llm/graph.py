@@ -28,3 +28,16 @@ def components(links: DataFrame) -> DataFrame:
     if labels is None:
         labels = ends(edges).select("node", F.col("other").alias("to"))
     return labels.select("node", F.col("to").alias("component"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b) of nodes, labelled ones or new.
+
+    The links are rewritten to the components that they join, so rounds go over those alone and not over all links again.
+    """
+    of = lambda name, c: labels.select(F.col("node").alias(name), F.col("component").alias(c))
+    ends = written(links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select("a", "b", "x", "y"), "further")
+    top = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    fresh = ends.filter("x IS NULL").select(F.col("a").alias("node")).unionByName(ends.filter("y IS NULL").select(F.col("b").alias("node"))).distinct()
+    every = labels.select("node", "component").unionByName(fresh.select("node", F.col("node").alias("component")))
+    return every.join(top.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left").select("node", F.coalesce("over", "component").alias("component"))

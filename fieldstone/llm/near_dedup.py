@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstone.llm.arrow import as_bytes, map_batches, pieces
-from fieldstone.llm.graph import components
+from fieldstone.llm.graph import components, joined
 from fieldstone.llm.shingles import mix, shingle_sets, similar
 from fieldstone.shared import written
 
@@ -268,14 +268,14 @@ def labelled(docs: DataFrame, width: int = 5, percent: int = 80, crowd: int = 24
     best = estimated(near, signed, least).groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select("m.a", "b")
     best = written(best, "best")
     links = confirmed(best, reps, texts, width, percent)
-    first = components(links)
+    first = written(components(links), "components")
     label = lambda name, c: first.select(F.col("node").alias(name), F.col("component").alias(c))
     across = every.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").filter("coalesce(x, a) <> coalesce(y, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
     more = confirmed(written(estimated(across, signed, least).select("a", "b"), "across"), reps, texts, width, percent)
-    found = written(components(links.unionByName(more)), "components")
+    found = written(joined(first, more), "components")
     exact = within_crowds(crowds, found, reps, texts, width, percent)
     if exact is not None:
-        found = components(links.unionByName(more).unionByName(exact))
+        found = joined(found, exact)
     classes = written(reps.select("digest", "node", "id").join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component")), "classes")
     smallest = classes.groupBy("component").agg(F.min("id").alias("c"))
     classes = classes.select("digest", "component").join(smallest, "component").select("digest", "c")

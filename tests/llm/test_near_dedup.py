@@ -127,3 +127,25 @@ def test_repeated_ids_with_different_texts(spark):
     want = brute(rows, 5)
     assert sorted(map(tuple, nd.near_duplicates(docs).collect()), key=str) == want
     assert sorted(tuple(r) for r in nd.keep_first(docs).collect()) == sorted([rows[0], rows[2], rows[4]])
+
+
+def test_components_joined_by_further_links(spark):
+    from fieldstone.llm.graph import components, joined
+
+    r = random.Random(12)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(25)]
+    more = [(r.randrange(80), r.randrange(80)) for _ in range(25)] + [(3, 3)]
+    root = list(range(80))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links + more:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {x.node: x.component for x in joined(components(frame(links)), frame(more)).collect()}
+    assert all(c == find(n) for n, c in got.items()) and all(find(n) == n for n in range(80) if n not in got)
+    assert {n for link in links + more for n in link if link[0] != link[1]} <= set(got)
