@@ -194,23 +194,23 @@ def td_before(spark, d):
 # Operators.
 
 
-@query(f"SELECT round(sum(a.v * x.v * p.v), 0) AS \"inner\" FROM ({_A}) a JOIN ({_X}) x ON a.j = x.i JOIN ({_P}) p ON p.i = a.i")
+@query(f"SELECT round(sum(a.v * x.v * p.v), -3) AS \"inner\" FROM ({_A}) a JOIN ({_X}) x ON a.j = x.i JOIN ({_P}) p ON p.i = a.i")
 def op_inner(spark, d):
-    return _r(al.Matrix(_matrix(spark, d)).inner(_supplier(spark, d), _part(spark, d)), 0, "inner")
+    return _r(al.Matrix(_matrix(spark, d)).inner(_supplier(spark, d), _part(spark, d)), -3, "inner")
 
 
-@query(f"SELECT x.i, round(coalesce(s.v, 0) * 0.25 - 3 * x.v, 2) AS v FROM ({_X}) x LEFT JOIN (SELECT m.i, sum(m.v * y.v) AS v FROM ({_ATA}) m JOIN ({_X}) y ON m.j = y.i GROUP BY m.i) s ON s.i = x.i")
+@query(f"SELECT x.i, round(coalesce(s.v, 0) * 0.25 - 3 * x.v, -2) AS v FROM ({_X}) x LEFT JOIN (SELECT m.i, sum(m.v * y.v) AS v FROM ({_ATA}) m JOIN ({_X}) y ON m.j = y.i GROUP BY m.i) s ON s.i = x.i")
 def op_sum(spark, d):
     """(A^T A / 4 - 3 I) x, with A^T A as a product that is never formed."""
     a = al.Matrix(mx.scatter_add(_matrix(spark, d)))
-    return _r(al.Sum(al.Scaled(al.Product(a.transpose(), a), 0.5), al.Identity(), 0.5, -3.0).mult(_supplier(spark, d)), 2, "v")
+    return _r(al.Sum(al.Scaled(al.Product(a.transpose(), a), 0.5), al.Identity(), 0.5, -3.0).mult(_supplier(spark, d)), -2, "v")
 
 
-@query(f"SELECT a.j AS i, round(sum(a.v * p.v * p.v), 1) AS v FROM ({_A}) a JOIN ({_P}) p ON a.i = p.i GROUP BY a.j")
+@query(f"SELECT a.j AS i, round(sum(a.v * p.v * p.v), -1) AS v FROM ({_A}) a JOIN ({_P}) p ON a.i = p.i GROUP BY a.j")
 def op_product_transpose(spark, d):
     """(D A)^T y with D the diagonal of y."""
     p = _part(spark, d)
-    return _r(al.Product(al.Diagonal(p), al.Matrix(_matrix(spark, d))).mult_transpose(p), 1, "v")
+    return _r(al.Product(al.Diagonal(p), al.Matrix(_matrix(spark, d))).mult_transpose(p), -1, "v")
 
 
 @query(f"SELECT x.i, round(x.v / p.v, 7) AS v FROM ({_X}) x JOIN ({_P}) p ON x.i = p.i")
