@@ -84,6 +84,7 @@ def bytes_read(spark, df):
     """Bytes that a read of the frame takes from local files."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
     count = lambda: sum(s.getBytesRead() for s in files.getAllStatistics() if s.getScheme() == "file")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.hadoop.vectored.io.enabled", "false")  # else reads are not counted
     before = count()
     df.write.format("noop").mode("overwrite").save()
     return count() - before
