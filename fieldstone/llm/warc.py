@@ -41,7 +41,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split()
 )
-TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
 LOOSE = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>")  # a tag with a quote that never ends
 CLOSE = {name: re.compile(rf"</{name}\b" + (r"|<body\b|<(?:article|div|h[1-6]|main|p|section|table|ul)[\s>]" if name == "head" else ""), re.IGNORECASE) for name in HIDDEN}
 #: Hidden elements that run to the end of the page if they are not closed; of others only the tag is left out then.
