@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +100,12 @@ def line_of_sight(b: DataFrame, directions: DataFrame, components: int) -> DataF
     return rows.select("i", (components * F.col("j") + F.col("c")).alias("j"), (F.col("v") * F.col("w")).alias("v"))
 
 
-def gather_observations(obs: DataFrame, target: str, limit: int = vec.DRIVER_ENTRIES) -> list[float]:
-    """Values (target, v) in target order on the driver; refused above `limit`."""
-    if (n := obs.count()) > limit:
-        raise ValueError(f"{n} values are more than {limit}")
-    return obs.sort(target).select("v").toArrow()["v"].to_pylist()
+def gather_observations(obs: DataFrame, target: str) -> DataFrame:
+    """(i, v): values (target, v) in target order, numbered from 0; no value goes to the driver."""
+    return ranked(obs.select(target, "v"), [target], "i").select("i", "v")
 
 
-def scatter_observations(values: list[float], targets: DataFrame) -> DataFrame:
-    """(target, v): values in target order on the targets of a frame with one column."""
+def scatter_observations(values: DataFrame | Sequence[float], targets: DataFrame) -> DataFrame:
+    """(target, v): values in target order, numbered (i, v) or an array, on the targets of a frame with one column."""
     (name,) = targets.columns
-    return ranked(targets, [name], "i").join(vec.from_array(targets.sparkSession, values), "i").select(name, "v")
+    return ranked(targets, [name], "i").join(vec.as_vector(targets.sparkSession, values), "i").select(name, "v")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldstone import catalogue
 from fieldstone.functions import applied, pointwise
 from fieldstone.operators import diagnostics as dg
 from fieldstone.operators import matrix as mx
@@ -66,6 +67,21 @@ def test_adjoint_identity_and_mesh_counts(spark):
     assert mesh.observation_matrix(off, t, n, "ignore").count() == 0
 
 
+def test_observations_pass_through_no_driver(spark, tmp_path):
+    """More rows than a driver array may have; values that are null and targets that come twice stay as they are."""
+    n = vec.DRIVER_ENTRIES + 1
+    spark.range(n).selectExpr("(id * 7919) % 4000037 AS o_orderkey", "nullif(id % 1000, 0) / 8D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    want = spark.read.parquet(f"{tmp_path}/orders.parquet").selectExpr("o_orderkey AS t", "o_totalprice AS v")
+    figures = [F.count(F.lit(1)), F.count("v"), F.sum("v"), F.bit_xor(F.xxhash64("t", "v"))]
+    assert catalogue.QUERIES["observations_in_order"][0](spark, str(tmp_path)).agg(*figures).first() == want.agg(*figures).first()
+    rows = [(3, 1.5), (1, None), (None, 2.0), (3, 0.5), (-2, float("nan"))]
+    obs = spark.createDataFrame(rows, "t long, v double")
+    got = mf.scatter_observations(mf.gather_observations(obs, "t"), obs.select("t")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, obs.collect()))
+    array = mf.scatter_observations([10.0, 20.0, 30.0], spark.createDataFrame([(9,), (4,), (7,)], "t long"))
+    assert sorted(map(tuple, array.collect())) == [(4, 10.0), (7, 20.0), (9, 30.0)]
+
+
 def test_refusals(spark):
     obs = spark.createDataFrame([(0, -1.0, 2.0)], "t long, bu double, d double")
     with pytest.raises(ZeroDivisionError):
